@@ -4,8 +4,9 @@
    a long prefix: with overlap floor a = ceil(0.75 n), a prefix of n - a + l shingles of two similar classes shares at least
    min(l_x, l_y) of them. Shingles met in two classes of the same batch are settled there (only a marker travels), so a
    shingle in a third of all documents costs one row a batch. A class stays active if enough of its prefix is shared.
-2. Active classes are linked to one partner for each of four min-hashes and the pairs verified: copies with small edits fall
-   into components after a number of checks linear in the documents.
+2. Active classes are sorted by each of a few min-hashes; of the neighbours in these orders each class tries the most alike
+   by signature, and the pairs are verified: copies with small edits fall into components after a number of checks linear in
+   the documents.
 3. The exact join runs between components: shingles are ordered by (crosses components, frequency, hash); those that stay in
    one component fill prefixes without being sent. Classes with equal prefixes and sizes are one group; group pairs that
    share a prefix shingle and pass the size filter are expanded to members and verified. No pair of similar classes in
@@ -26,10 +27,15 @@ from . import common, kernels
 
 NUM, DEN = 75, 100
 #: Shingles gathered before a batch is combined.
-BATCH_SHINGLES = 4_000_000
+BATCH_SHINGLES = 1_500_000
 #: Active classes up to which their keys are broadcast (16 bytes each); above it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 SHARE = 12
+#: 64-bit words of the bitmap that bounds an overlap from above: a power of two.
+BITMAP = 8
+_WORDS = [f"w{k}" for k in range(BITMAP)]
+#: Min-hashes of a class: all in its signature, the first KEYS also as sort keys; a row is compared with BACK rows before it.
+SIGNATURE, KEYS, BACK, PROMISING, ROUNDS = 64, 8, 6, 0.65, 2
 _ROW = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
@@ -144,21 +150,44 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds = [kernels.mix(np.array([s + 101], kernels.U))[0] for s in range(4)]
+    odd = kernels.mix(np.arange(1, SIGNATURE + 1, dtype=kernels.U)) | kernels.U(1)
     for batch in batches:
         data, starts = kernels.flat(batch.column("data"))
         tokens, offsets = kernels.shingles(data, starts)
         if not len(tokens):
             continue
-        least = [_i64(np.minimum.reduceat(kernels.mix(tokens ^ s), offsets[:-1])) for s in seeds]
-        hashes = np.stack(least, axis=1).ravel()
+        least = np.stack([np.minimum.reduceat(tokens * m, offsets[:-1]) for m in odd], axis=1)
         n = batch.num_rows
+        at = (tokens >> kernels.U(64 - BITMAP.bit_length() - 5)).astype(np.int64)
+        bit = kernels.U(1) << (at & 63).astype(kernels.U)
+        words = [_i64(np.bitwise_or.reduceat(np.where(at >> 6 == k, bit, kernels.U(0)), offsets[:-1])) for k in range(BITMAP)]
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(0, ROUNDS * KEYS * n + 1, ROUNDS * KEYS, dtype=np.int32)), pa.array(_i64(np.ascontiguousarray(least[:, : ROUNDS * KEYS])).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("cls"), batch.column("n"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_i64(tokens))), pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4, dtype=np.int32)), pa.array(hashes))],
-            names=["cls", "n", "tokens", "least"],
+            [batch.column("cls"), batch.column("n"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_i64(tokens))), keys, pa.array([x.tobytes() for x in (least >> kernels.U(40)).astype(np.uint16)]), *map(pa.array, words)],
+            names=["cls", "n", "tokens", "least", "sig", *_WORDS],
         )
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key number, key, next key): promising pairs of a row with the rows just before it."""
+    last = None
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "h", "cls", "n", "comp")] + [np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SIGNATURE)]
+        if last is not None:
+            rows = [np.concatenate(x) for x in zip(last, rows, strict=True)]
+        i, h, cls, n, comp, sig = rows
+        for back in range(1, BACK + 1):
+            if len(i) <= back:
+                continue
+            same = (i[back:] == i[:-back]) & (h[back:] == h[:-back]) & (comp[back:] != comp[:-back]) & (DEN * np.minimum(n[back:], n[:-back]) >= NUM * np.maximum(n[back:], n[:-back]))
+            at = np.flatnonzero(same) + back
+            alike = (sig[at] == sig[at - back]).mean(axis=1) if len(at) else np.empty(0)
+            at, alike = at[alike >= PROMISING], alike[alike >= PROMISING]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(cls[at - back]), pa.array(alike)], names=["a", "b", "alike"])
+        last = [x[-BACK:] for x in rows]
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets pass 100 * intersection >= 75 * union."""
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
@@ -168,45 +197,51 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").where(ok).select("a", "b")
 
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    return pairs.where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
-
-
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, n_shingles, root) for every row of ``docs``; rows of one component share ``root``."""
     spark = docs.sparkSession
     rows_in = common.numbered(docs, id_col, text_col)
     parts = common.exchange_partitions(spark)
-    sent = common.materialize(rows_in.mapInArrow(_prefixes(parts), _ROW))
-    rows = sent.where("kind = 1").select(*"abcdef").mapInArrow(_decode, "uid long, doc_id long, n int, cls long, shared int")
+    sent = rows_in.mapInArrow(_prefixes(parts), _ROW)  # read twice: the shingles of a prefix take more room than time
+    rows = common.materialize(sent.where("kind = 1").select(*"abcdef").mapInArrow(_decode, "uid long, doc_id long, n int, cls long, shared int"))
     counts = sent.where("kind = 0").select("bucket", "a", "b").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "cls long, cnt long")
     folded = rows.where("n > 0").select("cls", "n", "shared", F.lit(0).cast("long").alias("cnt"), "uid").union(counts.select("cls", F.lit(0), F.lit(0), "cnt", F.lit(None).cast("long")))
     folded = folded.groupBy("cls").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.sum("cnt").alias("cnt"), F.min("uid").alias("uid"))
     least = F.floor((F.ceil(F.col("n") * NUM / DEN)) / SHARE) + 1
     active = common.materialize(folded.where(F.col("shared") + F.col("cnt") >= least).select("cls", "n", "uid"))
     key = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
-    sets = common.materialize(rows_in.select("uid", "data").join(key, "uid").select("cls", "n", "data").mapInArrow(_sets, "cls long, n int, tokens array<long>, least array<long>"))
-
-    # one partner for each min-hash
-    hashed = sets.select("cls", "n", F.posexplode("least").alias("i", "h"))
-    lead = hashed.groupBy("i", "h").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("i", F.col("h").alias("hh"), "lead.*")
-    lead = lead.select(F.col("i").alias("j"), "hh", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    near = _sized(hashed.join(lead, (F.col("i") == F.col("j")) & (F.col("h") == F.col("hh"))).select(F.col("cls").alias("a"), F.col("n").alias("na"), "b", "nb").where("a <> b"))
-    links = common.materialize(verified(near.select("a", "b").distinct(), sets))
-    part = common.components(links)
-    comp = common.materialize(sets.select("cls", "n").join(part.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp")))
+    sets = common.materialize(rows_in.select("uid", "data").join(key, "uid").select("cls", "n", "data").mapInArrow(_sets, "cls long, n int, tokens array<long>, least array<long>, sig binary, " + ", ".join(f"{w} long" for w in _WORDS)))
+
+    # the most alike neighbours of another component, in the order of each key
+    part, links = sets.select(F.col("cls").alias("v"), F.col("cls").alias("root")).limit(0), None
+    for r in range(ROUNDS):
+        now = sets.select("cls", "n", "sig", F.slice("least", r * KEYS + 1, KEYS).alias("least")).join(part.withColumnRenamed("v", "cls"), "cls", "left")
+        keyed = now.select("cls", "n", "sig", F.coalesce("root", "cls").alias("comp"), "least", F.posexplode("least").alias("i", "h")).select("i", "h", F.expr(f"element_at(least, cast((i + 1) % {KEYS} + 1 as int))").alias("g"), "cls", "n", "comp", "sig")
+        near = keyed.repartitionByRange(parts, "i", "h", "g", "cls").sortWithinPartitions("i", "h", "g", "cls").select("i", "h", "cls", "n", "comp", "sig").mapInArrow(_neighbours, "a long, b long, alike double")
+        best = near.union(near.select(F.col("b"), F.col("a"), "alike")).groupBy("a").agg(F.max(F.struct("alike", "b")).alias("m1"), F.max_by("b", F.struct(F.xxhash64("b"), "alike")).alias("m2"))
+        near = best.select("a", F.explode(F.array("m1.b", "m2")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = common.materialize(verified(near, sets))
+        links = found if links is None else links.union(found)
+        part = common.components(links)
+    comp = sets.select("cls", "n", "tokens", *_WORDS).join(part.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), "tokens", F.array(*_WORDS).alias("words"))
 
     # the exact join between components
-    tokens = sets.select("cls", F.explode("tokens").alias("tok")).join(comp, "cls")
+    tokens = comp.select("cls", "n", "comp", F.explode("tokens").alias("tok"))
     crossing = tokens.groupBy("tok").agg(F.count("*").alias("freq"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("tok").alias("t"), "freq")
-    mine = tokens.join(crossing, F.col("tok") == F.col("t")).groupBy("cls").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("freq", "tok"))).alias("cross"))
+    mine = tokens.join(crossing, F.col("tok") == F.col("t")).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("freq", "tok"))).alias("cross")).join(comp.select("cls", "n", "comp", "words"), "cls")
     take = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.size("cross"))
-    mine = mine.withColumn("take", take.cast("int")).where("take > 0").select("cls", "n", "comp", F.expr("transform(slice(cross, 1, take), x -> x.tok)").alias("prefix"))
-    mine = common.materialize(mine.withColumn("grp", F.xxhash64("n", "prefix")))
-    groups = mine.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    listed = groups.select("grp", "n", F.explode("prefix").alias("tok"))
-    l1, l2 = listed.select("tok", F.col("grp").alias("ga"), F.col("n").alias("na")), listed.select("tok", F.col("grp").alias("gb"), F.col("n").alias("nb"))
-    meet = _sized(l1.join(l2, "tok").where("ga <= gb")).select("ga", "gb").distinct()
+    mine = mine.withColumn("take", take.cast("int")).where("take > 0").select("cls", "n", "comp", *(F.col("words")[k].alias(w) for k, w in enumerate(_WORDS)), F.expr("transform(slice(cross, 1, take), x -> x.tok)").alias("prefix"), (F.col("n") - F.size("cross")).alias("own"))
+    mine = common.materialize(mine.withColumn("grp", F.xxhash64("n", "own", "prefix")))
+    groups = mine.groupBy("grp").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.bit_and(w).alias(f"all_{w}") for w in _WORDS), *(F.bit_or(w).alias(f"any_{w}") for w in _WORDS))
+    bits = [f"{x}_{w}" for x in ("all", "any") for w in _WORDS]
+    listed = groups.select("grp", "n", "own", "lo", "hi", *bits, F.posexplode("prefix").alias("i", "tok")).select("tok", "grp", "n", "lo", "hi", *bits, (F.col("n") - F.col("own") - F.col("i")).alias("left"))
+    l1, l2 = (listed.select("tok", F.col("grp").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"), *(F.col(x).alias(f"{x}{k}") for x in bits)) for k in "ab")
+    apart = (F.col("loa") != F.col("hib")) | (F.col("hia") != F.col("lob"))  # not all of one component
+    room = (NUM + DEN) * F.least("la", "lb") >= NUM * (F.col("na") + F.col("nb"))  # overlap still possible from this shingle on
+    lost = [sum((F.bit_count(F.col(f"all_{w}{x}").bitwiseAND(F.bitwise_not(F.col(f"any_{w}{y}")))) for w in _WORDS), F.lit(0)) for x, y in ("ab", "ba")]
+    most = F.least(F.col("na") - lost[0], F.col("nb") - lost[1])  # a bit of one set that the other lacks is a shingle that it lacks
+    fits = (NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))
+    meet = l1.join(l2, (l1.tok == l2.tok) & (F.col("ga") <= F.col("gb")) & apart & room & fits & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)).select("ga", "gb").distinct()
     m1, m2 = (mine.select(F.col("grp").alias(f"g{k}"), F.col("cls").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
     rest = meet.join(m1, "ga").join(m2, "gb").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = common.materialize(verified(rest, sets))
