@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, near_join, packing, suffix_dedup, token_counts, toxicity, warc
+from . import html_text, lattice_lsh, near_join, packing, piece_sampling, suffix_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lsh.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op8_suffix_array_dedup, op9_html_extraction, op10_ngram_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op6_embedding_near_dedup, op7_sentencepiece, op8_suffix_array_dedup, op9_html_extraction, op10_ngram_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
