@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, lattice_lsh, near_join, packing, piece_sampling, suffix_dedup, token_counts, toxicity, warc
+from . import fingerprints, html_text, lattice_lsh, near_join, packing, piece_sampling, suffix_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lsh.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op6_embedding_near_dedup, op7_sentencepiece, op8_suffix_array_dedup, op9_html_extraction, op10_ngram_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_warc, op4_packing, op5_document_fingerprints, op6_embedding_near_dedup, op7_sentencepiece, op8_suffix_array_dedup, op9_html_extraction, op10_ngram_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
