@@ -24,13 +24,39 @@ from . import kernels
 
 #: Weight of a piece: exp(-ALPHA * its rank - PENALTY).
 ALPHA, PENALTY = 1 / 4000, 2.0
-MEMORY_UNITS = 400_000
+MEMORY_UNITS = 700_000
 #: Characters of text that are sampled at once.
 GROUP_CHARS = 1_000_000
 _UNIT = re.compile(r" +[^ ]*")
 _HELD: dict = {}
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Column:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.empty(1024, kind), 0
+
+    @property
+    def data(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.empty(end * 3 // 2, self.room.dtype)
+            room[: self.size] = self.data
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+
+
 class Lattice:
     """The pieces of a model with byte fallback, and the forward-filtered lattices of units seen so far."""
 
@@ -52,15 +78,30 @@ class Lattice:
                 text = piece.replace("▁", " ")
                 self.pieces[text] = (i, -alpha * -sp.get_score(i) - penalty)
                 self.bytes_of[i] = text.encode()
-        self.longest = max(map(len, self.pieces))
+        import ahocorasick
+
+        self.finder = ahocorasick.Automaton()
+        self.weights = np.zeros(len(self.bytes_of))
+        self.sizes = np.zeros(len(self.bytes_of), np.int64)
+        for text, (i, w) in self.pieces.items():
+            self.finder.add_word(text, i)
+            self.weights[i], self.sizes[i] = w, len(text)
+        self.finder.make_automaton()
+        self.longest = int(self.sizes.max())
         self.fallback = -alpha * len(self.bytes_of) - penalty
-        self.units: dict[str, tuple] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.units: dict[str, int] = {}
+        #: Of all units end to end: candidates at each place; share, length and id of each candidate.
+        self.table = [Column(t) for t in (np.int16, np.float64, np.int16, np.int32)]
+        self.nodes, self.candidates = Column(np.int64), Column(np.int64)
 
     def learn(self, units: list[str]) -> None:
         """Forward-filter the lattices of ``units``, those of one length together.
 
-        For each unit: candidates at each place, their running shares, lengths, and ids (a character without a piece: minus
-        its code point, less one).
+        A candidate's id is its piece's; a character without a piece has minus its code point, less one, and is spelled in
+        byte pieces.
         """
         by_length: dict[int, list[str]] = {}
         for u in units:
@@ -71,56 +112,58 @@ class Lattice:
                 self._learn(n, whole[i : i + most])
 
     def _learn(self, n: int, units: list[str]) -> None:
-        get, none, wide = self.pieces.get, (0, -math.inf), min(n, self.longest)
+        wide = min(n, self.longest)
+        found = list(self.finder.iter("".join(units)))
+        ends, pieces = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        size = self.sizes[pieces]
+        inside = size <= ends % n + 1  # matches over two units are none
+        ends, pieces, size = ends[inside], pieces[inside], size[inside]
         weight = np.full((len(units), n, wide), -np.inf)
-        ids = np.zeros((len(units), n, wide), np.int64)
-        for e in range(1, n + 1):
-            for size in range(1, min(e, wide) + 1):
-                s = e - size
-                found = [get(u[s:e], none) for u in units]
-                weight[:, e - 1, size - 1] = [f[1] for f in found]
-                ids[:, e - 1, size - 1] = [f[0] for f in found]
+        ids = np.zeros((len(units), n, wide), np.int32)
+        weight[ends // n, ends % n, size - 1] = self.weights[pieces]
+        ids[ends // n, ends % n, size - 1] = pieces
         for k, e in zip(*np.nonzero(np.isneginf(weight[:, :, 0])), strict=True):
             c = units[k][e]
             weight[k, e, 0] = self.fallback * len(c.encode())
             ids[k, e, 0] = -ord(c) - 1
         total = np.zeros((len(units), n + 1))
         for e in range(1, n + 1):
-            size = min(e, wide)
-            x = weight[:, e - 1, :size] + total[:, e - size : e][:, ::-1]
+            most = min(e, wide)
+            x = weight[:, e - 1, :most] + total[:, e - most : e][:, ::-1]
             top = x.max(axis=1)
             share = np.exp(x - top[:, None])
             sums = share.sum(axis=1)
             total[:, e] = top + np.log(sums)
-            weight[:, e - 1, :size] = np.cumsum(share / sums[:, None], axis=1)
+            weight[:, e - 1, :most] = np.cumsum(share / sums[:, None], axis=1)
         have = ids != 0
-        weight = np.minimum(weight, 1.0)
         lengths = np.broadcast_to(np.arange(1, wide + 1), have.shape)[have]
         counts = have.sum(axis=2)
-        shares, ids = weight[have], ids[have]
-        last = np.cumsum(counts.ravel()) - 1
-        shares[last] = 1.0
-        ends = np.cumsum(counts.sum(axis=1)).tolist()
-        begin = 0
-        for k, (u, end) in enumerate(zip(units, ends, strict=True)):
-            self.units[u] = (counts[k], shares[begin:end], lengths[begin:end], ids[begin:end])
-            begin = end
+        shares = np.minimum(weight[have], 1.0)
+        shares[np.cumsum(counts.ravel()) - 1] = 1.0
+        first = len(self.units)
+        self.units.update(zip(units, range(first, first + len(units)), strict=True))
+        per_unit = counts.sum(axis=1)
+        self.nodes.add(self.table[0].size + np.arange(len(units)) * n)
+        self.candidates.add(self.table[1].size + np.cumsum(per_unit) - per_unit)
+        for column, values in zip(self.table, (counts.ravel(), shares, lengths, ids[have]), strict=True):
+            column.add(values)
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """Ids of each text; ``keys``: one unsigned 64-bit key a text."""
         if len(self.units) > MEMORY_UNITS:
-            self.units.clear()
+            self.forget()
         split = [_UNIT.findall(" " + t) for t in texts]
         flat = list(itertools.chain.from_iterable(split))
         local = {u: i for i, u in enumerate(dict.fromkeys(flat))}
         self.learn([u for u in local if u not in self.units])
-        lattices = list(map(self.units.__getitem__, local))
-        sizes = np.array([len(u) for u in local])
+        at_unit = np.fromiter(map(self.units.__getitem__, local), np.int64, len(local))
+        sizes = np.fromiter(map(len, local), np.int64, len(local))
         node0 = np.cumsum(sizes) - sizes
-        counts = np.concatenate([x[0] for x in lattices])
+        counts = self.table[0].data[_ranges(self.nodes.data[at_unit], sizes)].astype(np.int64)
         first = np.cumsum(counts) - counts
-        table = np.concatenate([x[1] for x in lattices]) + np.repeat(np.arange(len(counts)), counts)
-        steps, ids = (np.concatenate([x[k] for x in lattices]) for k in (2, 3))
+        pick = _ranges(self.candidates.data[at_unit], np.add.reduceat(counts, node0))
+        table = self.table[1].data[pick] + np.repeat(np.arange(len(counts)), counts)
+        steps, ids = self.table[2].data[pick], self.table[3].data[pick]
         unit = np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))
         per_row = np.array([len(x) for x in split])
         row = np.repeat(np.arange(len(texts)), per_row)
