@@ -68,7 +68,7 @@ def _strict_tokens(text: str) -> list[Token]:
         kind = next((k for k, p in _STRICT if k not in "()" and p.fullmatch(core)), None)
         if word == "()":
             raise FilterSyntaxError("nothing between parentheses")
-        if kind is None:
+        if kind is None or "(" in core or ")" in core:
             raise FilterSyntaxError(f"invalid token {word!r}")
         out += [Token("(", "(")] if word[0] == "(" else []
         out.append(Token(kind, core))

@@ -57,4 +57,4 @@ def quantized_list(vector, vector_type: str) -> list[float]:
     safe = np.where((x == 0) | ~np.isfinite(x), 1.0, np.abs(x))
     unit = np.exp2(np.maximum(np.floor(np.log2(safe)), least) - bits)
     out = np.where((x == 0) | ~np.isfinite(x), x, np.rint(x / unit) * unit)
-    return np.where(np.isfinite(x) & (np.abs(x) >= over), np.sign(x) * np.inf, out).tolist()
+    return np.where(np.isfinite(x) & (np.abs(x) >= over), np.copysign(np.inf, x), out).tolist()
