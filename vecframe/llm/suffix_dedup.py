@@ -297,7 +297,7 @@ def removals(rows: DataFrame, keep_first: bool) -> DataFrame:
 def merged(found: list | None) -> list[tuple[int, int]]:
     """Maximal spans, ascending; spans that touch are one run of removed bytes."""
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in found or ()):
+    for s, e in sorted((x["s"], x["e"]) for x in (() if found is None else found)):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
