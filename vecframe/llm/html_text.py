@@ -31,6 +31,8 @@ _FRAME_NAME = re.compile(
 )
 _SPACE = re.compile(r"\s+")
 MAIN, FRAME = 1, 2
+#: Pages in a range of URLs, at least.
+RANGE_PAGES = 200
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
@@ -184,6 +186,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
     )
     rows = rows.withColumn("host", F.when(F.col("host") != "", F.col("host")))
-    parts = common.exchange_partitions(pages.sparkSession)
+    # few cuts between neighbours in a small table; a cut leaves a page with the neighbour on its other side
+    parts = max(1, min(common.exchange_partitions(pages.sparkSession), pages.count() // RANGE_PAGES))
     order = ("host", "path", "url", "page_id")
     return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

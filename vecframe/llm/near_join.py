@@ -27,7 +27,7 @@ from . import common, kernels
 
 NUM, DEN = 75, 100
 #: Shingles gathered before a batch is combined.
-BATCH_SHINGLES = 1_500_000
+BATCH_SHINGLES = 800_000
 #: Active classes up to which their keys are broadcast (16 bytes each); above it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 SHARE = 12
@@ -99,13 +99,15 @@ def _prefixes(buckets: int):
             if not batch.num_rows:
                 continue
             data, starts = kernels.flat(batch.column("data"))
-            tokens, offsets = kernels.shingles(data, starts)
             ids = batch.column("doc_id")
-            held.append((batch.column("uid").to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), tokens, offsets))
-            size += len(tokens)
-            if size >= BATCH_SHINGLES:
-                yield from flush(held)
-                held, size = [], 0
+            uid, known, null = batch.column("uid").to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+            for lo, hi in kernels.row_slices(starts):
+                tokens, offsets = kernels.shingles(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
+                held.append((uid[lo:hi], known[lo:hi], null[lo:hi], tokens, offsets))
+                size += len(tokens)
+                if size >= BATCH_SHINGLES:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
@@ -151,7 +153,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     odd = kernels.mix(np.arange(1, SIGNATURE + 1, dtype=kernels.U)) | kernels.U(1)
-    for batch in batches:
+    for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
         data, starts = kernels.flat(batch.column("data"))
         tokens, offsets = kernels.shingles(data, starts)
         if not len(tokens):

@@ -31,7 +31,7 @@ EOS = 1
 #: Documents in a group, about.
 GROUP_ROWS = 2048
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 500_000
 _SEPARATOR = "<|endoftext|>"
 _HELD: dict = {}
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

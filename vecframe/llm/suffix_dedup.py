@@ -26,9 +26,9 @@ WIDTH, K = 200, 64
 #: Windows in a stretch at most; longer runs (periodic text) are split.
 RUN = 1024
 #: Stretches gathered before a batch is combined.
-BATCH_STRETCHES = 1_000_000
+BATCH_STRETCHES = 500_000
 #: Different stretches of one anchor from which window hashes are used.
-HOT_STRETCHES = 4096
+HOT_STRETCHES = 1024
 #: Bytes over which one suffix array is built, unless one group is larger (HOT_STRETCHES bounds it).
 BLOCK_BYTES = 2_000_000
 #: Added to the length of a stretch whose anchor recurs inside it (periodic text): it can hold equal windows itself.

@@ -24,7 +24,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
 FEATURES, LEAST_Z = 6000, 3.0
 THRESHOLD = 0.7
 #: Words whose weight a worker remembers.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 250_000
 PREFIXES = (3, 4, 5, 6, 7)
 _PIECES = re.compile(r"[^\W_]+|[.!?\n]+")
 _ENDS = ".!?\n"
