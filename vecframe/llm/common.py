@@ -32,6 +32,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to Python at once: texts can be long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH_ROWS rows where it is larger, so that a worker holds few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet (names compare without case)."""
     have, name = {c.lower() for c in df.columns}, base
@@ -51,6 +62,7 @@ def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``uid`` comes from the position in the scan. The input must be replayable (files or a checkpoint), which holds for
     every table read from storage.
     """
+    bounded_batches(df.sparkSession)
     return df.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),

@@ -180,6 +180,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Whole pages are read; a null page is empty, a page with a null or odd URL has no neighbour. Repeated rows give equal
     texts, null ids are kept, other columns are ignored, an empty table gives no rows.
     """
+    common.bounded_batches(pages.sparkSession)
     url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),

@@ -234,6 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     two of ids, so none is padded. Repeated rows are packed each; a null id is kept; other columns are ignored; an empty
     table gives no rows. ``tokenizer`` is the file's path on every node.
     """
+    common.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     cut = common.materialize(rows.mapInArrow(_tokenize(tokenizer), "uid long, doc_id long, doc_tokens long, full array<long>, rest int, crc long, bits array<long>"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import bounded_batches
 
 #: Weight of a piece: exp(-ALPHA * its rank - PENALTY).
 ALPHA, PENALTY = 1 / 4000, 2.0
@@ -226,6 +227,7 @@ def _sampled(model: str, seed: int, digest: bool):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     doc_id = F.col(f"`{id_col}`").cast("long")
     return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 

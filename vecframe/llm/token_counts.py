@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 RULES = ("start", "end", "largest")
 _HELD: dict = {}
 _OUT = "doc_id long, section long, start long, n_bytes long, n_tokens long, n_crossing long, doc_tokens long"
@@ -76,6 +78,8 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ranks not in _HELD:
             _HELD[ranks] = Encoder(ranks, pattern)

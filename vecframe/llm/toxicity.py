@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, fresh
+
 #: Labelled rows that the fit takes at most, of each label, by the order of a hash of the id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 #: Features kept at most, and the least standard score that a feature needs.
 FEATURES, LEAST_Z = 6000, 3.0
 THRESHOLD = 0.7
@@ -175,6 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``: each text's probability; null texts count as empty."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts):
         return texts.map(lambda t: model.score(t or "")).astype("float64")
@@ -208,11 +212,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is under THRESHOLD, with all their columns."""
-    name = common_name(docs)
+    name = fresh(docs, "score")
     return scored(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < THRESHOLD).drop(name)
 
-
-def common_name(docs: DataFrame) -> str:
-    from .common import fresh
-
-    return fresh(docs, "score")

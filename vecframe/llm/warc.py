@@ -39,6 +39,7 @@ def _file_system(uri: str):
 
 def roles(pages: DataFrame, id_col: str, html_col: str, least_bytes: int = 0) -> DataFrame:
     """(uid, page_id, url, data, lead): lead is the response's (page_id, uid) in groups of equal payloads, else null."""
+    common.bounded_batches(pages.sparkSession)
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("data"))
     keyed = rows.withColumn("sha", F.sha1("data")).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
