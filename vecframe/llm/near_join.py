@@ -27,7 +27,7 @@ from . import common, kernels
 
 NUM, DEN = 75, 100
 #: Shingles gathered before a batch is combined.
-BATCH_SHINGLES = 800_000
+BATCH_SHINGLES = 400_000
 #: Active classes up to which their keys are broadcast (16 bytes each); above it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 SHARE = 12
@@ -108,8 +108,10 @@ def _prefixes(buckets: int):
                 if size >= BATCH_SHINGLES:
                     yield from flush(held)
                     held, size = [], 0
+                    kernels.release()
         if held:
             yield from flush(held)
+        kernels.release()
 
     return run
 
@@ -149,11 +151,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(b)
     if toks:
         yield from settle(toks, keys)
+    kernels.release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     odd = kernels.mix(np.arange(1, SIGNATURE + 1, dtype=kernels.U)) | kernels.U(1)
-    for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+    for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
         data, starts = kernels.flat(batch.column("data"))
         tokens, offsets = kernels.shingles(data, starts)
         if not len(tokens):

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh
+from .kernels import release
 
 #: Labelled rows that the fit takes at most, of each label, by the order of a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
@@ -26,7 +27,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 FEATURES, LEAST_Z = 6000, 3.0
 THRESHOLD = 0.7
 #: Words whose weight a worker remembers.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 100_000
 PREFIXES = (3, 4, 5, 6, 7)
 _PIECES = re.compile(r"[^\W_]+|[.!?\n]+")
 _ENDS = ".!?\n"
@@ -181,7 +182,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
 
     @F.pandas_udf("double")
     def score(texts):
-        return texts.map(lambda t: model.score(t or "")).astype("float64")
+        out = texts.map(lambda t: model.score(t or "")).astype("float64")
+        release()
+        return out
 
     return docs.withColumn(name, score(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
