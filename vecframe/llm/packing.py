@@ -14,6 +14,7 @@ over groups, plus the rank in its group. Groups are even whatever the lengths, s
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,10 @@ WINDOW = 2048
 EOS = 1
 #: Documents in a group, about.
 GROUP_ROWS = 2048
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-MEMORY_WORDS = 500_000
+#: Words, and stems, whose ids a worker remembers; a memory is emptied when it is full.
+MEMORY_WORDS, MEMORY_STEMS = 300_000, 400_000
+#: Letters whose lower case and normal form stand by themselves, then punctuation that starts a piece of its own.
+_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SEPARATOR = "<|endoftext|>"
 _HELD: dict = {}
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,6 +44,7 @@ class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins over it, so a text's ids are those of its white-space separated parts.
+    It lowers letters and splits them from punctuation too, so most words are a stem and a tail, each encoded once.
     """
 
     def __init__(self, path: str):
@@ -49,6 +53,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -61,34 +66,47 @@ class WordIds:
         return text.split()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: list[str]) -> None:
-        odd = [w for w in words if "<|" in w or len(w) > 1000 or any(c.isspace() for c in w)]
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[str]) -> None:
+        odd, whole, split = [], [], {}
+        for w in words:
+            if "<|" in w or len(w) > 1000:
+                odd.append(w)
+            elif m := _STEM.fullmatch(w):
+                split[w] = (m[1].lower(), m[2])
+            else:
+                (odd if any(c.isspace() for c in w) else whole).append(w)
         for w in odd:
             self.known[w] = self._ids(w).tobytes()
-        words = [w for w in words if w not in self.known] if odd else words
+        self._learn(whole, self.known)
+        stems = self.stems
+        self._learn(list({x for pair in split.values() for x in pair}.difference(stems)), stems)
+        self.known.update((w, stems[a] + stems[b]) for w, (a, b) in split.items())
+
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         for i in range(0, len(words), 4000):
             part = words[i : i + 4000]
             ids = self._ids(_SEPARATOR.join(part))
             cut = np.flatnonzero(ids == self.separator)
             if len(cut) != len(part) - 1:
-                self.known.update((w, self._ids(w).tobytes()) for w in part)
+                into.update((w, self._ids(w).tobytes()) for w in part)
                 continue
             raw, ends = ids.tobytes(), (cut * 4).tolist()
-            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)), strict=True))
+            into.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 200):
             if len(self.known) > MEMORY_WORDS:
                 self.known.clear()
+            if len(self.stems) > MEMORY_STEMS:
+                self.stems = {"": b""}
             split = [self.parts(t or "") for t in texts[i : i + 200]]
-            found = [list(map(self.known.get, words)) for words in split]
-            unknown = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+            unknown = set().union(*split).difference(self.known)
             if unknown:
-                self.learn(list(unknown))
-            for words, ids in zip(split, found, strict=True):
-                yield b"".join(map(self.known.__getitem__, words) if None in ids else ids)
+                self.learn(unknown)
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
 
 
 def _tokenize(path: str):
