@@ -67,7 +67,7 @@ def prefix_hash(data: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
 
 
 #: Bytes of text that a kernel works on at once, unless one row is longer.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def row_slices(starts: np.ndarray, limit: int = SLICE_BYTES):
