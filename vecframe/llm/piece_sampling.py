@@ -26,6 +26,10 @@ from .common import bounded_batches
 #: Weight of a piece: exp(-ALPHA * its rank - PENALTY).
 ALPHA, PENALTY = 1 / 4000, 2.0
 MEMORY_UNITS = 700_000
+#: Units up to so many characters are filtered in plain weights, where at worst e to the -42 comes with each character. Only
+#: paths over pieces of spaces alone, whose rank is a billion, vanish there; units with no other path, and longer units,
+#: are filtered in logarithms.
+PLAIN_LENGTH = 16
 #: Characters of text that are sampled at once.
 GROUP_CHARS = 1_000_000
 _UNIT = re.compile(r" +[^ ]*")
@@ -88,6 +92,7 @@ class Lattice:
             self.finder.add_word(text, i)
             self.weights[i], self.sizes[i] = w, len(text)
         self.finder.make_automaton()
+        self.plain = np.exp(self.weights)
         self.longest = int(self.sizes.max())
         self.fallback = -alpha * len(self.bytes_of) - penalty
         self.forget()
@@ -96,7 +101,7 @@ class Lattice:
         self.units: dict[str, int] = {}
         #: Of all units end to end: candidates at each place; share, length and id of each candidate.
         self.table = [Column(t) for t in (np.int16, np.float64, np.int16, np.int32)]
-        self.nodes, self.candidates = Column(np.int64), Column(np.int64)
+        self.nodes, self.candidates, self.lengths = (Column(np.int64) for _ in range(3))
 
     def learn(self, units: list[str]) -> None:
         """Forward-filter the lattices of ``units``, those of one length together.
@@ -110,44 +115,67 @@ class Lattice:
         for n, whole in by_length.items():
             most = max(1, 2_000_000 // (n * min(n, self.longest)))
             for i in range(0, len(whole), most):
-                self._learn(n, whole[i : i + most])
+                rest = self._learn(n, whole[i : i + most], n <= PLAIN_LENGTH)
+                if rest:
+                    self._learn(n, rest, False)
 
-    def _learn(self, n: int, units: list[str]) -> None:
+    def _learn(self, n: int, units: list[str], plain: bool) -> list[str]:
+        """Remember the lattices of ``units``, of ``n`` characters each; returns those that plain weights cannot tell."""
         wide = min(n, self.longest)
-        found = list(self.finder.iter("".join(units)))
-        ends, pieces = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        found = np.fromiter(itertools.chain.from_iterable(self.finder.iter("".join(units))), np.int64)
+        ends, pieces = found[::2], found[1::2]
         size = self.sizes[pieces]
         inside = size <= ends % n + 1  # matches over two units are none
         ends, pieces, size = ends[inside], pieces[inside], size[inside]
-        weight = np.full((len(units), n, wide), -np.inf)
-        ids = np.zeros((len(units), n, wide), np.int32)
-        weight[ends // n, ends % n, size - 1] = self.weights[pieces]
-        ids[ends // n, ends % n, size - 1] = pieces
-        for k, e in zip(*np.nonzero(np.isneginf(weight[:, :, 0])), strict=True):
+        # By place, length and unit, so that each step below runs over whole rows of units.
+        ids = np.zeros((n, wide, len(units)), np.int32)
+        ids[ends % n, size - 1, ends // n] = pieces
+        weight = np.zeros(ids.shape) if plain else np.full(ids.shape, -np.inf)
+        weight[ends % n, size - 1, ends // n] = (self.plain if plain else self.weights)[pieces]
+        for e, k in zip(*np.nonzero(ids[:, 0] == 0), strict=True):
             c = units[k][e]
-            weight[k, e, 0] = self.fallback * len(c.encode())
-            ids[k, e, 0] = -ord(c) - 1
-        total = np.zeros((len(units), n + 1))
+            weight[e, 0, k] = self.fallback * len(c.encode())
+            if plain:
+                weight[e, 0, k] = math.exp(weight[e, 0, k])
+            ids[e, 0, k] = -ord(c) - 1
+        total = np.full((n + 1, len(units)), float(plain))
         for e in range(1, n + 1):
             most = min(e, wide)
-            x = weight[:, e - 1, :most] + total[:, e - most : e][:, ::-1]
-            top = x.max(axis=1)
-            share = np.exp(x - top[:, None])
-            sums = share.sum(axis=1)
-            total[:, e] = top + np.log(sums)
-            weight[:, e - 1, :most] = np.cumsum(share / sums[:, None], axis=1)
+            x, before = weight[e - 1, :most], total[e - most : e][::-1]
+            if plain:
+                x *= before
+                np.cumsum(x, axis=0, out=x)
+                total[e] = x[-1]
+                x /= np.where(total[e] > 0, total[e], 1.0)  # a place of weight 0 is never drawn
+            else:
+                x += before
+                top = x.max(axis=0)
+                np.exp(x - top, out=x)
+                np.cumsum(x, axis=0, out=x)
+                total[e] = top + np.log(x[-1])
+                x /= x[-1].copy()
+        rest = []
+        if plain and not total[n].all():
+            rest = [u for u, w in zip(units, total[n], strict=True) if w == 0]
+            units = [u for u, w in zip(units, total[n], strict=True) if w > 0]
+            if not units:
+                return rest
+            ids, weight = ids[:, :, total[n] > 0], weight[:, :, total[n] > 0]
+        ids, weight = np.ascontiguousarray(ids.transpose(2, 0, 1)), weight.transpose(2, 0, 1)
         have = ids != 0
-        lengths = np.broadcast_to(np.arange(1, wide + 1), have.shape)[have]
+        lengths = np.broadcast_to(np.arange(1, wide + 1, dtype=np.int16), have.shape)[have]
         counts = have.sum(axis=2)
         shares = np.minimum(weight[have], 1.0)
         shares[np.cumsum(counts.ravel()) - 1] = 1.0
         first = len(self.units)
         self.units.update(zip(units, range(first, first + len(units)), strict=True))
         per_unit = counts.sum(axis=1)
+        self.lengths.add(np.full(len(units), n))
         self.nodes.add(self.table[0].size + np.arange(len(units)) * n)
         self.candidates.add(self.table[1].size + np.cumsum(per_unit) - per_unit)
         for column, values in zip(self.table, (counts.ravel(), shares, lengths, ids[have]), strict=True):
             column.add(values)
+        return rest
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """Ids of each text; ``keys``: one unsigned 64-bit key a text."""
@@ -155,22 +183,24 @@ class Lattice:
             self.forget()
         split = [_UNIT.findall(" " + t) for t in texts]
         flat = list(itertools.chain.from_iterable(split))
-        local = {u: i for i, u in enumerate(dict.fromkeys(flat))}
-        self.learn([u for u in local if u not in self.units])
-        at_unit = np.fromiter(map(self.units.__getitem__, local), np.int64, len(local))
-        sizes = np.fromiter(map(len, local), np.int64, len(local))
+        self.learn(list(set(flat).difference(self.units)))
+        known = np.fromiter(map(self.units.__getitem__, flat), np.int64, len(flat))
+        order = np.argsort(known)  # draws go through the table in its order
+        new = np.diff(known[order], prepend=-1) > 0
+        at_unit, unit = known[order][new], np.empty(len(flat), np.int64)
+        unit[order] = np.cumsum(new) - 1
+        sizes = self.lengths.data[at_unit]
         node0 = np.cumsum(sizes) - sizes
         counts = self.table[0].data[_ranges(self.nodes.data[at_unit], sizes)].astype(np.int64)
         first = np.cumsum(counts) - counts
         pick = _ranges(self.candidates.data[at_unit], np.add.reduceat(counts, node0))
         table = self.table[1].data[pick] + np.repeat(np.arange(len(counts)), counts)
         steps, ids = self.table[2].data[pick], self.table[3].data[pick]
-        unit = np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))
         per_row = np.array([len(x) for x in split])
         row = np.repeat(np.arange(len(texts)), per_row)
         number = np.arange(len(unit)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
         salt = kernels.mix(keys + kernels.U(seed))[row] + number.astype(kernels.U) * kernels.U(0x9E3779B97F4A7C15)
-        at, live, drawn = sizes[unit], np.arange(len(unit)), []
+        at, live, drawn = sizes[unit], order, []
         while len(live):
             node = node0[unit[live]] + at[live] - 1
             u = (kernels.mix(salt[live] + at[live].astype(kernels.U) * kernels.U(0xD1B54A32D192ED03)) >> kernels.U(11)).astype(np.float64) * 2.0**-53
