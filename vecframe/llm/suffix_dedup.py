@@ -30,7 +30,7 @@ BATCH_STRETCHES = 500_000
 #: Different stretches of one anchor from which window hashes are used.
 HOT_STRETCHES = 1024
 #: Bytes over which one suffix array is built, unless one group is larger (HOT_STRETCHES bounds it).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 #: Added to the length of a stretch whose anchor recurs inside it (periodic text): it can hold equal windows itself.
 SELF = 1 << 24
 _U = kernels.U
@@ -127,6 +127,8 @@ def _send(buckets: int, keep_first: bool):
                     held, size = [], 0
         if held:
             yield from flush(held)
+        held.clear()
+        kernels.release()
 
     return run
 
@@ -173,6 +175,8 @@ def _resolve(keep_first: bool):
                 held.append(row)
         if held:
             yield from settle(held)
+        held.clear()
+        kernels.release()
 
     return run
 
@@ -188,6 +192,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "anchor": np.array([x["anchor"] for x in part]), "uid": np.full(len(part), uid), "pos": np.array([x["pos"] for x in part]), "cnt": np.array([x["cnt"] for x in part]), "nd": np.array([x["nd"] for x in part]),
                     "bytes": [data.slice(x["pos"], x["len"]).to_pybytes() for x in part],
                 })
+    kernels.release()
 
 
 def suffix_ranks(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
@@ -261,6 +266,8 @@ def _group(keep_first: bool):
                 size += len(row[3])
         if held:
             yield from settle(held)
+        held.clear()
+        kernels.release()
 
     return run
 
