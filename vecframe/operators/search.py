@@ -15,6 +15,10 @@ from ..functions.predicate import matching
 
 #: Bytes of query vectors that a task holds at once; more queries are answered in blocks.
 QUERY_BYTES = 32 << 20
+#: Rows of a packed chunk of a table, of queries and of rows; a task multiplies one of each at a time.
+QUERY_CHUNK, ROW_CHUNK = 1024, 2048
+#: Decimals by which ``knn_join`` ranks, so that equal vectors tie and their ids decide.
+DECIMALS = 9
 
 
 def knn(df: DataFrame, query, k: int, space: str = "IP", where: str = "", metadata: str | None = None, keep: list[str] | None = None, vector_type: str = "FLOAT32", id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
@@ -76,6 +80,93 @@ def knn_batch(df: DataFrame, queries: list[tuple[int, list[float]]], k: int, spa
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _packed(df: DataFrame, size: int, id_col: str, vector_col: str, by: list[str], names: tuple[str, str]) -> DataFrame:
+    """(by..., ids, values): the rows as chunks of at most ``size``, each of one value of ``by``, as the bytes of their arrays."""
+    ids, flat = names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def row(key):
+            i, x = (np.concatenate(part) for part in zip(*held.pop(key), strict=True))
+            columns = [pa.array([v], pa.int32()) for v in key] + [pa.array([i.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[*by, ids, flat])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            i = batch.column(id_col).to_numpy()
+            x = batch.column(vector_col).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(i), -1)
+            keys = batch.column(by[0]).to_numpy() if by else np.zeros(len(i), np.int32)
+            for key in np.unique(keys):
+                own = np.flatnonzero(keys == key)
+                at = (int(key),) if by else ()
+                for lo in range(0, len(own), size):
+                    part = own[lo : lo + size]
+                    if at in held and sum(len(a) for a, _ in held[at]) + len(part) > size:
+                        yield row(at)
+                    held.setdefault(at, []).append((i[part], x[part]))
+        for key in list(held):
+            yield row(key)
+
+    return df.select(id_col, vector_col, *by).mapInArrow(run, ", ".join([*(f"{b} int" for b in by), f"{ids} binary", f"{flat} binary"]))
+
+
+def _nearest_of_chunks(space: str, k: int, id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None  # ids, vectors of the queries at hand; of the best of each so far the rounded distances, ids and distances
+
+        def out():
+            queries, _, near, i, d = own
+            keep = i >= 0
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, keep.sum(axis=1))), pa.array(i[keep]), pa.array(d[keep]), pa.array(near[keep])], names=["query_id", id_col, "distance", "near"])
+
+        for batch in batches:
+            for qi, qv, ri, rv in zip(*(batch.column(c) for c in ("q_ids", "q_values", "r_ids", "r_values")), strict=True):
+                queries, ids = np.frombuffer(qi.as_py(), np.int64), np.frombuffer(ri.as_py(), np.int64)
+                if own is None or not np.array_equal(own[0], queries):
+                    if own is not None:
+                        yield out()
+                    q = np.frombuffer(qv.as_py(), np.float32).astype(np.float64).reshape(len(queries), -1)
+                    own = (queries, q, np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, np.int64), np.zeros((len(queries), k)))
+                x = np.frombuffer(rv.as_py(), np.float32).astype(np.float64).reshape(len(ids), -1)
+                _, q, best, best_i, best_d = own
+                dots = q @ x.T
+                d = 1.0 - dots if space == "IP" else np.maximum((q**2).sum(axis=1)[:, None] - 2 * dots + (x**2).sum(axis=1)[None, :], 0.0)
+                rounded = np.round(d, DECIMALS)
+                for r in range(len(queries)):
+                    near = np.flatnonzero(rounded[r] <= best[r, -1])
+                    if len(near) > k:
+                        near = near[rounded[r, near] <= np.partition(rounded[r, near], k - 1)[k - 1]]
+                    if len(near):
+                        both = [np.concatenate(x) for x in ((best[r], rounded[r, near]), (best_i[r], ids[near]), (best_d[r], d[r, near]))]
+                        order = np.lexsort((both[1], both[0]))[:k]
+                        best[r], best_i[r], best_d[r] = (x[order] for x in both)
+        if own is not None:
+            yield out()
+
+    return run
+
+
+def knn_join(df: DataFrame, queries: DataFrame, k: int, space: str = "IP", where: str = "", metadata: str | None = None, by: str | None = None, id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
+    """As ``knn_batch``, but the queries are a table too, (query_id, vector), however many: nothing is collected.
+
+    Both sides are packed into chunks and every pair of chunks is multiplied, or with ``by`` the pairs of equal ``by``. Ranks
+    are by distance to ``DECIMALS`` places, then by id.
+    """
+    if space not in vectors.SPACES:
+        raise ValueError(f"space must be one of {vectors.SPACES}")
+    if k < 1:
+        raise ValueError("k must be positive")
+    keys = [by] if by else []
+    rows = _packed(matching(df, where, metadata), ROW_CHUNK, id_col, vector_col, keys, ("r_ids", "r_values"))
+    asked = _packed(queries, QUERY_CHUNK, "query_id", "vector", keys, ("q_ids", "q_values"))
+    pairs = asked.join(rows, by) if by else asked.crossJoin(rows)
+    found = pairs.select("q_ids", "q_values", "r_ids", "r_values").mapInArrow(_nearest_of_chunks(space, k, id_col), f"query_id long, {id_col} long, distance double, near double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("near", id_col))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("near")
+
+
 def by_ids(df: DataFrame, ids: list[int], id_col: str = "doc_id") -> DataFrame:
     """The rows of the given ids, as many as there are."""
     return df.where(F.col(id_col).isin(ids))

@@ -217,6 +217,28 @@ def knn_batch_l2_filtered(spark, sf_dir):
     return _rounded(search.knn_batch(docs(spark, sf_dir), _queries(spark, sf_dir, 50), 10, "L2", "label > 4"))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, vector): the query set of searches, every row whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _join_sql(distance: str, where: str) -> str:
+    exact = distance.removeprefix("round(").removesuffix(", 6) + 0.0").format(a="vector", b="q.embedding")
+    return f"""WITH {DOCS}, d AS (SELECT q.vec_id AS query_id, doc_id, {exact} AS x FROM docs, embeddings q WHERE q.vec_id % 20 = 0 AND {where}),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(x, {search.DECIMALS}), doc_id) AS INTEGER) AS rank FROM d)
+      SELECT query_id, doc_id, round(x, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 10"""
+
+
+@query("knn_batch_ip_all", _join_sql(_IP, "true"))
+def knn_batch_ip_all(spark, sf_dir):
+    return _rounded(search.knn_join(docs(spark, sf_dir), asked(spark, sf_dir), 10))
+
+
+@query("knn_batch_l2_filtered_all", _join_sql(_L2, "docs.label > 4"))
+def knn_batch_l2_filtered_all(spark, sf_dir):
+    return _rounded(search.knn_join(docs(spark, sf_dir), asked(spark, sf_dir), 10, "L2", "label > 4"))
+
+
 def _round_sql(x: str, bits: int, least: int) -> str:
     unit = f"pow(2.0, greatest(floor(log2(abs({x}))), {least}) - {bits})"
     return f"CASE WHEN {x} = 0 THEN {x} ELSE round_even({x} / {unit}, 0) * {unit} END"
