@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vecframe.operators import search
+from vecframe.operators import ann, search
 from vecframe.plans import queries as plans
 
 DATA = "/root/testdata/sf0.01"
@@ -42,3 +42,24 @@ def test_join_over_many_chunks(spark, monkeypatch):
         d = 1 - x @ x.T if space == "IP" else ((x[:, None] - x) ** 2).sum(-1)
         got = {(r.query_id, r["rank"]): r.doc_id for r in search.knn_join(df, df.withColumnRenamed("doc_id", "query_id"), 5, space).collect()}
         assert got == {(q, n + 1): int(i) for q in range(60) for n, i in enumerate(np.lexsort((np.arange(60), d[q]))[:5])}
+
+
+@tables
+def test_ivf_recall(spark):
+    found = {(r.query_id, r.doc_id) for r in plans.queries()["knn_ivf"](spark, DATA).collect()}
+    true = {(r.query_id, r.doc_id) for r in plans.queries()["knn_batch_ip_all"](spark, DATA).collect()}
+    assert len(found) == len(true) and len(found & true) >= 0.9 * len(true)
+
+
+@tables
+def test_ivf_filters_lose_no_hits(spark):
+    df = plans.docs(spark, DATA)
+    index, q = ann.build(df, lists=45), plans.first_vector(spark, DATA)
+    few = "doc_id < 12"
+    assert df.where(few).count() == 12
+    pick = lambda rows: [r.doc_id for r in rows.orderBy("distance", "doc_id").collect()]
+    exact = pick(search.knn(df, q, 10, where=few))
+    assert len(exact) == 10 and pick(index.search(q, 10, probes=1, where=few)) == exact
+    joined = index.search_join(plans.asked(spark, DATA), 10, probes=1, where=few).where("query_id = 0")
+    assert [r.doc_id for r in joined.orderBy("rank").collect()] == exact
+    assert index.search(q, 100, probes=1).count() == 100  # one list holds fewer

@@ -385,7 +385,7 @@ def search_response(spark, sf_dir):
 
 @query("knn_ivf")
 def knn_ivf(spark, sf_dir):
-    return ann.build(docs(spark, sf_dir), lists=45).search(first_vector(spark, sf_dir), 10, probes=16)
+    return ann.build(docs(spark, sf_dir), lists=45).search_join(asked(spark, sf_dir), 10)
 
 
 def queries() -> dict[str, Query]:
