@@ -63,3 +63,11 @@ def test_ivf_filters_lose_no_hits(spark):
     joined = index.search_join(plans.asked(spark, DATA), 10, probes=1, where=few).where("query_id = 0")
     assert [r.doc_id for r in joined.orderBy("rank").collect()] == exact
     assert index.search(q, 100, probes=1).count() == 100  # one list holds fewer
+
+
+@tables
+def test_oplog_covers_the_whole_log(spark):
+    last = plans.table(spark, DATA, "events").agg({"event_id": "max"}).first()[0]
+    orphans = against_sql(spark, "oplog_orphan_deletes_all")
+    assert len(orphans) > 0 and max(r["seq"] for r in orphans) > last / 2
+    assert len(against_sql(spark, "oplog_crc_prefix_scaled")) == (last + 1) * 7 // 10

@@ -340,6 +340,27 @@ def oplog_crc_prefix(spark, sf_dir):
     return oplog.intact(damaged).select("seq", "doc_id")
 
 
+_ORPHANS = "ops AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' OR user_id % 7 = 3 THEN 'DELETE' ELSE 'ADD' END AS op, user_id AS doc_id FROM events)"
+
+
+@query("oplog_orphan_deletes_all", f"WITH {_ORPHANS} SELECT doc_id, max(seq) AS seq FROM ops GROUP BY doc_id HAVING count(*) FILTER (op = 'ADD') = 0")
+def oplog_orphan_deletes_all(spark, sf_dir):
+    """The whole log, in which all entries of every seventh user are deletions."""
+    never = F.col("doc_id") % 7 == 3
+    ops = operations(spark, sf_dir).withColumn("metadata", F.when(~never, F.col("metadata"))).withColumn("op", F.when(never, oplog.DELETE).otherwise(F.col("op")))
+    return oplog.compacted(ops).where(F.col("op") == oplog.DELETE).select("doc_id", "seq")
+
+
+@query("oplog_crc_prefix_scaled", "SELECT event_id AS seq, user_id AS doc_id FROM events WHERE event_id < (SELECT (max(event_id) + 1) * 7 // 10 FROM events)")
+def oplog_crc_prefix_scaled(spark, sf_dir):
+    """The log is damaged at seven and nine tenths of its length."""
+    sealed = oplog.sealed(operations(spark, sf_dir))
+    ends = sealed.agg((F.max("seq") + 1).alias("end"))
+    at = lambda n: F.expr(f"end * {n} div 10")
+    damaged = sealed.join(F.broadcast(ends)).withColumn("crc", F.when(F.col("seq").isin(at(7), at(9)), F.col("crc") + 1).otherwise(F.col("crc")))  # one row
+    return oplog.intact(damaged.drop("end")).select("seq", "doc_id")
+
+
 @query("upsert_revive", f"WITH {_OPS}, {_LAST} SELECT doc_id FROM l WHERE op = 'ADD' AND doc_id IN (SELECT doc_id FROM ops WHERE op = 'DELETE')")
 def upsert_revive(spark, sf_dir):
     ops = operations(spark, sf_dir)
