@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from vecframe.llm import warc
 from vecframe.operators import ann, search
 from vecframe.plans import queries as plans
 
@@ -71,3 +72,14 @@ def test_oplog_covers_the_whole_log(spark):
     orphans = against_sql(spark, "oplog_orphan_deletes_all")
     assert len(orphans) > 0 and max(r["seq"] for r in orphans) > last / 2
     assert len(against_sql(spark, "oplog_crc_prefix_scaled")) == (last + 1) * 7 // 10
+
+
+def test_warc_round_trip_reads_the_chunk_table(spark, monkeypatch):
+    tables = []
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **b: tables.append(read(*a, **b)) or tables[-1])
+    big = "x" * (2 * warc.CHUNK + 5)
+    out = warc.round_trip(spark.createDataFrame([(1, "u", big), (2, "v", "y")], "page_id long, url string, html string")).collect()
+    chunks = tables[0].where("page_id = 1").orderBy("chunk").collect()
+    assert len(chunks) > 1 and b"".join(c.data for c in chunks).decode() == big and [c["last"] for c in chunks] == [False] * (len(chunks) - 1) + [True]
+    assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in out}[1] == (len(big), chunks[-1].payload_digest) and len(out) == 2

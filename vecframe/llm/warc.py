@@ -173,7 +173,7 @@ def _ids(name: str) -> int | None:
     return int(text) if text else None
 
 
-def _read(root: str, with_data: bool):
+def _read(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(root)
         names = [c.split()[0] for c in _CHUNKS.split(", ")]
@@ -192,8 +192,7 @@ def _read(root: str, with_data: bool):
                         sha, total, number, last = hashlib.sha1(), 0, 0, b""
                         for chunk in body:
                             if last:
-                                if with_data:
-                                    rows.append((_ids(name), name, kind, refers, number, False, last, total, base64.b32encode(sha.digest()).decode()))
+                                rows.append((_ids(name), name, kind, refers, number, False, last, total, base64.b32encode(sha.digest()).decode()))
                                 number += 1
                             sha.update(chunk)
                             total += len(chunk)
@@ -207,7 +206,7 @@ def _read(root: str, with_data: bool):
                             total, digest = int(head["WARC-Payload-Length"]), told
                         elif digest != told:
                             raise ValueError(f"payload of {name} does not match its digest")
-                        rows.append((_ids(name), name, kind, refers, number, True, last if with_data else None, total, digest))
+                        rows.append((_ids(name), name, kind, refers, number, True, last, total, digest))
                         if len(rows) >= 5000:
                             yield out(rows)
                             rows, held = [], 0
@@ -228,14 +227,14 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", html_co
     return common.materialize(roles(pages, id_col, html_col, least_bytes).mapInArrow(_write(root), "path string, records long"))
 
 
-def read_archives(files: DataFrame, root: str, with_data: bool = True) -> DataFrame:
-    """The chunk table of archives; without data, one row a record: its last chunk, with the whole payload's digest."""
+def read_archives(files: DataFrame, root: str) -> DataFrame:
+    """The chunk table of archives: length and digest of the payload up to each chunk, so of all of it at the last."""
     parts = common.exchange_partitions(files.sparkSession)
-    return files.select("path").repartition(parts, "path").mapInArrow(_read(root, with_data), _CHUNKS)
+    return files.select("path").repartition(parts, "path").mapInArrow(_read(root), _CHUNKS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Archives of all ``pages``, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     root = f"{common.shared_root(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     files = write_archives(pages, root, id_col, html_col)
-    return read_archives(files, root, with_data=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(files, root).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
