@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecframe.llm import toxicity, warc
+from vecframe.llm import html_text, toxicity, warc
 from vecframe.operators import ann, search
 from vecframe.plans import queries as plans
 
@@ -172,3 +172,13 @@ def test_pipeline_equals_brute_force(spark, monkeypatch, tmp_path):
         q = q.sort_values("offset")
         total = int(q.length.sum())
         assert (q.length.cumsum() - q.length == q.offset).all() and total <= 2048 and (total == 2048 or total & (total - 1) == 0)
+
+
+def test_html_differences_over_cuts_and_past_copies(spark, monkeypatch):
+    page = lambda n: f"<div>Site name</div><p>Menu of all</p><p>text {n}</p>"
+    rows = [(i, f"http://h/a/{i:02}", page(i // 4)) for i in range(24)] + [(90, "http://alone/x", page(1)), (91, None, page(2))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "RANGE_PAGES", 1)
+    monkeypatch.setattr(html_text.common, "exchange_partitions", lambda _: 13)
+    out = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert out == {i: f"text {i // 4}" for i in range(24)} | {90: "Site name\nMenu of all\ntext 1", 91: "Site name\nMenu of all\ntext 2"}

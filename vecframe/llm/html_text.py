@@ -1,18 +1,20 @@
 """Main text of web pages by differencing a page with the page of the nearest URL.
 
-Pages are sorted by host and path, so that the nearest URL of a page stands beside it; a host with very many pages is split
-by its paths. Both pages become lines of text with their place in the markup; a longest common subsequence aligns the lines,
+Pages are sorted by host and path, so that the nearest URL of a page whose lines differ stands beside its run of equal pages;
+ranges are cut anywhere, and the pages at their ends are matched over the cuts. Both pages become lines of text with their place in the markup; a longest common subsequence aligns the lines,
 and aligned lines are deleted as the site's frame. Lines inside the page's article are its own whatever the neighbour has
 (two pages may carry one article), and lines inside menus, adverts and the like go even if no neighbour shares them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,31 +149,96 @@ def _nearer(path: str, before: str | None, after: str | None) -> int:
     return -1 if max(shared) < 0 else int(shared[1] > shared[0])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, types = ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()]
-    window: list[tuple] = []  # the page before and the page at hand
+_KEYS = "uid long, host string, path string, url string, page_id long, lines long, marked boolean"
+_PLACED = "uid long, host string, path string, lines long, marked boolean, part long, p_uid long, p_path string, n_uid long, n_path string, head boolean, tail boolean, edge int"
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page a number of its lines, and whether it marks its article."""
+    for batch in batches:
+        pages = [lines_of(x) for x in batch.column("html").to_pylist()]
+        numbers = [int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in pages]
+        marked = [any(f & MAIN for _, f in x) for x in pages]
+        columns = [*(batch.column(c) for c in ("uid", "host", "path", "url", "page_id")), pa.array(numbers, pa.int64()), pa.array(marked, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["uid", "host", "path", "url", "page_id", "lines", "marked"])
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page of a sorted range with the last page before its run of equal pages and the first after it, within the range.
+
+    ``head`` and ``tail``: the run reaches the start or end of the range; ``edge`` 1 at its first page, 2 at its last, 3 at both.
+    """
+    part, out, before, run = TaskContext.get().partitionId(), [], None, []
+    start = True
+
+    def settle(after):
+        nonlocal start
+        for r in run:
+            own = [x if x and x[1] == r[1] and r[1] is not None else (None,) * 3 for x in (before, after)]
+            out.append([*r, part, own[0][0], own[0][2], own[1][0], own[1][2], before is None, after is None, 0])
+        if start:
+            out[0][-1] += 1
+            start = False
+        if after is None:
+            out[-1][-1] += 2
+
+    def flush():
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int32()]
+        names = [c.split()[0] for c in _PLACED.split(", ")]
+        columns = list(zip(*out, strict=True))
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    def settle(before, page, after):
-        host, path = page[2], page[3]
-        sides = [x if x and x[2] == host and host is not None else None for x in (before, after)]
-        k = _nearer(path, *(s and s[3] for s in sides))
-        text = main_text(page[4], sides[k][4] if k >= 0 else None)
-        return page[0], page[1], text, len(text)
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("uid", "host", "path", "lines", "marked")), strict=True):
+            if run and (run[0][1], run[0][3]) != (row[1], row[3]):
+                settle(row)
+                before, run = run[-1], []
+                if len(out) >= 1000:
+                    yield flush()
+            run.append(row)
+    if run:
+        settle(None)
+        yield flush()
+
+
+def _across(edges: list, last: int) -> dict[int, tuple]:
+    """For each range the page (uid, host, path) that stands next to the run at one end of it, in another range.
+
+    ``edges``: (first row, last row) by range in the order of the walk; ``last`` 0 walks up, 1 down.
+    """
+    found, held, beyond = {}, None, None
+    reach, uid, path = (("head", "p_uid", "p_path"), ("tail", "n_uid", "n_path"))[last]
+    for near, far in edges:
+        same = held is not None and (held.host, held.lines) == (near.host, near.lines)
+        found[near.part] = beyond if same or held is None else (held.uid, held.host, held.path)
+        beyond = found[near.part] if far[reach] else None if far[uid] is None else (far[uid], far.host, far[path])
+        held = far
+    return found
 
-    rows = []
+
+def _choose(before: dict[int, tuple], after: dict[int, tuple]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = []
+            for r in batch.to_pylist():
+                sides = [(r["p_uid"], r["host"], r["p_path"]), (r["n_uid"], r["host"], r["n_path"])]
+                for k, (end, other) in enumerate((("head", before), ("tail", after))):
+                    if r[end]:
+                        sides[k] = other[r["part"]]
+                sides = [x if x and x[0] is not None and x[1] == r["host"] and r["host"] is not None else None for x in sides]
+                k = _nearer(r["path"], *(x and x[2] for x in sides))
+                if k >= 0:
+                    pairs.append((r["uid"], sides[k][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["of", "near"])
+
+    return run
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for page_id, url, host, path, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "html")), strict=True):
-            window.append((page_id, url, host, path or "", lines_of(page)))
-            if len(window) >= 2:
-                rows.append(settle(window[0] if len(window) == 3 else None, window[-2], window[-1]))
-                window = window[-2:]
-            if len(rows) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                rows = []
-    if window:
-        rows.append(settle(window[0] if len(window) == 2 else None, window[-1], None))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        texts = [main_text(lines_of(page), None if near is None else lines_of(near)) for page, near in zip(batch.column("html").to_pylist(), batch.column("near_html").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -187,7 +254,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
     )
     rows = rows.withColumn("host", F.when(F.col("host") != "", F.col("host")))
-    # few cuts between neighbours in a small table; a cut leaves a page with the neighbour on its other side
+    rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("path", F.coalesce("path", F.lit("")))
     parts = max(1, min(common.exchange_partitions(pages.sparkSession), pages.count() // RANGE_PAGES))
-    order = ("host", "path", "url", "page_id")
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    order = ("host", "path", "url", "page_id", "lines")
+    keys = rows.mapInArrow(_keys, _KEYS)
+    placed = common.materialize(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_place, _PLACED))
+    ends: dict[int, list] = {}
+    for r in placed.where("edge > 0").collect():  # two rows a range
+        first, last = ends.setdefault(r.part, [None, None])
+        ends[r.part] = [r if r.edge & 1 else first, r if r.edge & 2 else last]
+    before = _across([tuple(ends[p]) for p in sorted(ends)], 0)
+    after = _across([tuple(reversed(ends[p])) for p in sorted(ends, reverse=True)], 1)
+    chosen = common.materialize(placed.where("not marked").mapInArrow(_choose(before, after), "of long, near long"))
+    near = rows.select(F.col("uid").alias("near"), F.col("html").alias("near_html")).join(chosen, "near").select("of", "near_html")
+    both = rows.join(near, F.col("uid") == F.col("of"), "left").select("page_id", "url", "html", "near_html")
+    return both.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
