@@ -2,34 +2,73 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import Files
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder already set.
 
-    Only where neither is set (tests, one machine) a temporary folder is made and registered.
+    Where neither is set, a temporary folder is made and registered if the session runs on this machine alone (tests); on a
+    cluster that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vecframe-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return str(held.get()).rstrip("/")
 
 
+#: Written tables not yet removed, with the session that wrote them.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until ``discard`` or, for tables that a lazy result still reads, until the driver's program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    _WRITTEN[path] = spark
+    return out
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Remove the folder ``path`` when the driver's program ends."""
+    _WRITTEN[path] = spark
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_written", None)
+        if path and _WRITTEN.pop(path, None):
+            Files(table.sparkSession).remove(path)
+
+
+@atexit.register
+def _discard_all() -> None:
+    while _WRITTEN:
+        path, spark = _WRITTEN.popitem()
+        with contextlib.suppress(Exception):  # the session may be gone
+            Files(spark).remove(path)
 
 
 #: Rows that Spark hands to Python at once: texts can be long.
@@ -51,41 +90,60 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def exchange_partitions(spark: SparkSession) -> int:
-    """Partitions for an explicit exchange: follows the session's setting, never under 64."""
-    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of a stored table for which an explicit exchange has one partition.
+PARTITION_BYTES = 6 << 20
+
+
+def exchange_partitions(table: DataFrame) -> int:
+    """Partitions for an explicit exchange: follows the bytes of a table of ``materialize``, never under the session's setting."""
+    spark = table.sparkSession
+    size = Files(spark).size(table._written) if hasattr(table, "_written") else 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PARTITION_BYTES))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number ``name``, written once: number and row stay together whatever later jobs' scans look like."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """The columns ``more``, doc_id and data: the id and the UTF-8 bytes of the text (null: empty)."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(*more, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("data"))
+
+
+#: Keys that hold more than one row in so many are joined by broadcast, so there are at most so many of them.
+HEAVY = 1000
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, data): a row number that a replay of the same scan repeats, the id, the UTF-8 bytes (null: empty).
+def joined_by_share(rows: DataFrame, named: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``named`` on ``keys`` (unique in ``named``; ``count``: rows with the key), no task holding a heavy key.
 
-    ``uid`` comes from the position in the scan. The input must be replayable (files or a checkpoint), which holds for
-    every table read from storage.
+    Keys with over ``total`` / HEAVY rows are fewer than HEAVY, so they are broadcast; the rest is joined by shuffle. Rows
+    without their key in ``named`` are left out.
     """
-    bounded_batches(df.sparkSession)
-    return df.select(
-        F.monotonically_increasing_id().alias("uid"),
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("data"),
-    )
+    heavy = F.col(count) * HEAVY > total
+    few, rest = named.where(heavy).drop(count), named.where(~heavy).drop(count)
+    light = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(few), keys).unionByName(light.join(rest, keys))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (v, root), root the smallest vertex; vertices without edges are absent.
 
     Each round maps a vertex to its smallest neighbour, contracts the graph and repeats until no edge is left. Rounds are
-    written to the shared folder; minima are combined before each shuffle, so a hub costs no more than its edges.
+    written to the shared folder, and the tables of the round before removed; minima are combined before each shuffle, so a
+    hub costs no more than its edges.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-        if labels is None:
-            labels = step
-        else:
-            up = step.select(F.col("v").alias("root"), F.col("root").alias("up"))
-            labels = materialize(labels.join(up, "root", "left").select("v", F.coalesce("up", "root").alias("root")))
+        old = (edges, labels, step if labels is not None else None)
+        up = step.select(F.col("v").alias("root"), F.col("root").alias("up"))
+        labels = step if labels is None else materialize(labels.join(up, "root", "left").select("v", F.coalesce("up", "root").alias("root")))
         ta, tb = step.select(F.col("v").alias("a"), F.col("root").alias("ra")), step.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         edges = materialize(edges.join(ta, "a").join(tb, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        discard(*old)
     return labels if labels is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root"))

@@ -1,8 +1,13 @@
-"""NumPy kernels over flat byte buffers: polynomial hashes of words and substrings."""
+"""NumPy kernels over flat byte buffers.
+
+Words have two independent 64-bit hashes. Prefix sums give polynomial hashes of substrings in one step; texts can be made whose
+polynomial hashes agree, so those only route, and nothing is held equal by them.
+"""
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,32 @@ def release() -> None:
         trim(0)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Column:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.empty(1024, kind), 0
+
+    @property
+    def data(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.empty(end * 3 // 2, self.room.dtype)
+            room[: self.size] = self.data
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column in one buffer, and each row's start with the end after them."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,24 +110,48 @@ def row_slices(starts: np.ndarray, limit: int = SLICE_BYTES):
         lo = hi
 
 
-def shingles(data: np.ndarray, starts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of a word above which its hash is taken by ``hashlib``.
+LONG_WORD = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U)
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each [begin, end), eight bytes at a time through ``mix``."""
+    loads = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    size = end - begin
+    out = tuple(mix(size.astype(U) + c) for c in _MIX[:2])
+    live, at, step = np.flatnonzero(size <= LONG_WORD), begin, 0
+    while len(live):
+        left = size[live] - step
+        x = loads[at[live] + step] & _KEEP[np.minimum(left, 8)]
+        for h, c in zip(out, _MIX[2:4], strict=True):
+            h[live] = mix((h[live] ^ x) * c)
+        step += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        both = np.frombuffer(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=16).digest(), "<u8")
+        out[0][i], out[1][i] = both
+    return out
+
+
+def shingles(data: np.ndarray, starts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_shingles`` slice by slice, so that scratch memory stays small beside the batch."""
     parts = [_shingles(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], width) for lo, hi in row_slices(starts)]
     if not parts:
-        return np.empty(0, U), np.zeros(1, np.int64)
-    sizes = np.concatenate([np.diff(p[1]) for p in parts])
-    return np.concatenate([p[0] for p in parts]), np.concatenate(([0], np.cumsum(sizes)))
+        return np.empty(0, U), np.empty(0, U), np.zeros(1, np.int64)
+    sizes = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _shingles(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct word shingles of each row, ascending, and their offsets.
+def _shingles(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct word shingles of each row, ascending, a second independent hash of each, and rows' offsets.
 
     A-Z are lowered; words are runs of bytes other than white space (9-13, 32). A row with fewer words than ``width``
     has one shingle, its whole word sequence; a row without words has none.
     """
     rows, n = len(starts) - 1, len(data)
     if not n:
-        return np.empty(0, U), np.zeros(rows + 1, np.int64)
+        return np.empty(0, U), np.empty(0, U), np.zeros(rows + 1, np.int64)
     data = _LOWER[data]
     gap = _SPACE[data]
     first = np.zeros(n + 1, bool)
@@ -104,26 +159,30 @@ def _shingles(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndar
     word = ~gap
     begin = np.flatnonzero(word & (np.concatenate(([True], gap[:-1])) | first[:n]))
     end = np.flatnonzero(word & (np.concatenate((gap[1:], [True])) | first[1:])) + 1
-    sums = prefix_hash(data)
-    words = mix((sums[end] - sums[begin]) * powers(n + 1)[1][begin] + (end - begin).astype(U))
-    owner = np.searchsorted(starts, begin, side="right") - 1
-    counts = np.bincount(owner, minlength=rows)
-    at = np.concatenate(([0], np.cumsum(counts)))
-    out, offsets = [], np.zeros(rows + 1, np.int64)
-    w = len(words)
-    full = np.zeros(w, U)
-    padded = np.concatenate((words, np.zeros(width, U)))
-    for i in range(width):
-        full += padded[i : i + w] * _MIX[i + 2] if width <= 6 else padded[i : i + w] * mix(np.array([i + 1], U))
-    full = mix(full + U(width))
+    words = word_hashes(data, begin, end)
+    at = np.searchsorted(begin, starts)
+    w = len(begin)
+    full = []
+    for h in words:
+        padded, total = np.concatenate((h, np.zeros(width, U))), np.zeros(w, U)
+        for i in range(width):
+            total = (total + padded[i : i + w]) * _MIX[i % 6 + 2]
+        full.append(mix(total + U(width)))
+    out, check, offsets = [], [], np.zeros(rows + 1, np.int64)
     for r in range(rows):
         a, b = at[r], at[r + 1]
         if b - a >= width:
-            out.append(np.unique(full[a : b - width + 1]))
+            own = full[0][a : b - width + 1]
+            order = own.argsort()
+            own = own[order]
+            new = np.concatenate(([True], own[1:] != own[:-1]))
+            out.append(own[new])
+            check.append(full[1][a + order[new]])
         elif b > a:
-            h = np.array([b - a], U)
-            for i in range(b - a):
-                h = (h + words[a + i]) * _MIX[i % 6 + 2]
-            out.append(mix(h))
+            for h, held in zip(words, (out, check), strict=True):
+                x = np.array([b - a], U)
+                for i in range(b - a):
+                    x = (x + h[a + i]) * _MIX[i % 6 + 2]
+                held.append(mix(x))
         offsets[r + 1] = offsets[r] + (len(out[-1]) if b > a else 0)
-    return (np.concatenate(out) if out else np.empty(0, U)), offsets
+    return (np.concatenate(out), np.concatenate(check), offsets) if out else (np.empty(0, U), np.empty(0, U), offsets)

@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard self-join as a grouped prefix join.
 
-1. Documents with equal shingle sets form one class (128-bit set hash). Every class orders its shingles by hash and sends
+1. Documents with equal shingle sets form one class (128 bits of set hash, from two independent hashes of every word). Every class orders its shingles by hash and sends
    a long prefix: with overlap floor a = ceil(0.75 n), a prefix of n - a + l shingles of two similar classes shares at least
    min(l_x, l_y) of them. Shingles met in two classes of the same batch are settled there (only a marker travels), so a
    shingle in a third of all documents costs one row a batch. A class stays active if enough of its prefix is shared.
@@ -28,7 +28,7 @@ from . import common, kernels
 NUM, DEN = 75, 100
 #: Shingles gathered before a batch is combined.
 BATCH_SHINGLES = 400_000
-#: Active classes up to which their keys are broadcast (16 bytes each); above it the join is by shuffle.
+#: Active classes up to which their keys are broadcast (20 bytes each); above it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 SHARE = 12
 #: 64-bit words of the bitmap that bounds an overlap from above: a power of two.
@@ -36,7 +36,7 @@ BITMAP = 8
 _WORDS = [f"w{k}" for k in range(BITMAP)]
 #: Min-hashes of a class: all in its signature, the first KEYS also as sort keys; a row is compared with BACK rows before it.
 SIGNATURE, KEYS, BACK, PROMISING, ROUNDS = 64, 8, 6, 0.65, 2
-_ROW = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+_ROW = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
 
 def least_overlap(n):
@@ -47,21 +47,21 @@ def _i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def class_keys(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """An order-free 64-bit key of each row's set, from two independent 64-bit sums and the size; never 0."""
-    n = np.diff(offsets)
-    sums = [np.concatenate((np.zeros(1, kernels.U), np.cumsum(x, dtype=kernels.U))) for x in (kernels.mix(tokens + kernels.U(1)), kernels.mix(tokens ^ kernels.U(0xA5A5A5A5A5A5A5A5)))]
-    one, two = (x[offsets[1:]] - x[offsets[:-1]] for x in sums)
-    return kernels.mix(kernels.mix(one) + two * kernels.U(0xC2B2AE3D27D4EB4F) + n.astype(kernels.U)) | kernels.U(1)
+def class_keys(tokens: np.ndarray, checks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit keys of each row's set, order-free, from the two hashes of its shingles; the first is never 0."""
+    n = np.diff(offsets).astype(kernels.U)
+    sums = (np.concatenate((np.zeros(1, kernels.U), np.cumsum(kernels.mix(x + kernels.U(1)), dtype=kernels.U))) for x in (tokens, checks))
+    one, two = (kernels.mix(x[offsets[1:]] - x[offsets[:-1]] + n * kernels.U(0xC2B2AE3D27D4EB4F)) for x in sums)
+    return one | kernels.U(1), two
 
 
 def _prefixes(buckets: int):
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         uid, ids, null = (np.concatenate([h[k] for h in held]) for k in range(3))
-        tokens = np.concatenate([h[3] for h in held])
-        n = np.concatenate([np.diff(h[4]) for h in held])
+        tokens, checks = (np.concatenate([h[k] for h in held]) for k in (3, 4))
+        n = np.concatenate([np.diff(h[5]) for h in held])
         offsets = np.concatenate(([0], np.cumsum(n)))
-        cls = class_keys(tokens, offsets)
+        cls, check = class_keys(tokens, checks, offsets)
         cls[n == 0] = 0
         _, once = np.unique(cls, return_index=True)
         once = once[n[once] > 0]
@@ -86,10 +86,10 @@ def _prefixes(buckets: int):
         order = np.argsort(b, kind="stable")
         b, tok, key = b[order], tok[order], key[order]
         cuts = np.concatenate((np.flatnonzero(np.diff(b, prepend=-1)), [len(b)]))
-        rows = [(0, int(b[i]), tok[i:j].tobytes(), key[i:j].tobytes(), b"", b"", b"", b"") for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        rows.append((1, 0, uid.tobytes(), cls.tobytes(), n.astype(np.int32).tobytes(), ids.tobytes(), null.tobytes(), shared.tobytes()))
-        names = ["kind", "bucket", "a", "b", "c", "d", "e", "f"]
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        rows = [(0, int(b[i]), tok[i:j].tobytes(), key[i:j].tobytes(), b"", b"", b"", b"", b"") for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows.append((1, 0, uid.tobytes(), cls.tobytes(), n.astype(np.int32).tobytes(), ids.tobytes(), null.tobytes(), shared.tobytes(), check.tobytes()))
+        names = ["kind", "bucket", *"abcdefg"]
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         for i in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 64], strict=True), types, strict=True)], names=names)
 
@@ -102,8 +102,8 @@ def _prefixes(buckets: int):
             ids = batch.column("doc_id")
             uid, known, null = batch.column("uid").to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
             for lo, hi in kernels.row_slices(starts):
-                tokens, offsets = kernels.shingles(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
-                held.append((uid[lo:hi], known[lo:hi], null[lo:hi], tokens, offsets))
+                tokens, checks, offsets = kernels.shingles(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
+                held.append((uid[lo:hi], known[lo:hi], null[lo:hi], tokens, checks, offsets))
                 size += len(tokens)
                 if size >= BATCH_SHINGLES:
                     yield from flush(held)
@@ -118,11 +118,10 @@ def _prefixes(buckets: int):
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for uid, cls, n, ids, null, shared in zip(*(batch.column(k).to_pylist() for k in "abcdef"), strict=True):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(uid, np.int64)), pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), pa.array(np.frombuffer(n, np.int32)), pa.array(np.frombuffer(cls, np.int64)), pa.array(np.frombuffer(shared, np.int32))],
-                names=["uid", "doc_id", "n", "cls", "shared"],
-            )
+        for uid, cls, n, ids, null, shared, check in zip(*(batch.column(k).to_pylist() for k in "abcdefg"), strict=True):
+            whole = (np.frombuffer(x, t) for x, t in ((n, np.int32), (cls, np.int64), (check, np.int64), (shared, np.int32)))
+            columns = [pa.array(np.frombuffer(uid, np.int64)), pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), *map(pa.array, whole)]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "k1", "k2", "shared"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +137,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = (np.bincount(run) > 1)[run] & (key != 0)
         cls, n = np.unique(key[many], return_counts=True)
         if len(cls):
-            yield pa.RecordBatch.from_arrays([pa.array(_i64(cls)), pa.array(n.astype(np.int64))], names=["cls", "cnt"])
+            yield pa.RecordBatch.from_arrays([pa.array(_i64(cls)), pa.array(n.astype(np.int64))], names=["k1", "cnt"])
 
     at, toks, keys = None, [], []
     for batch in batches:
@@ -158,7 +157,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     odd = kernels.mix(np.arange(1, SIGNATURE + 1, dtype=kernels.U)) | kernels.U(1)
     for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
         data, starts = kernels.flat(batch.column("data"))
-        tokens, offsets = kernels.shingles(data, starts)
+        tokens, _, offsets = kernels.shingles(data, starts)
         if not len(tokens):
             continue
         least = np.stack([np.minimum.reduceat(tokens * m, offsets[:-1]) for m in odd], axis=1)
@@ -202,23 +201,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").where(ok).select("a", "b")
 
 
-def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n_shingles, root) for every row of ``docs``; rows of one component share ``root``."""
-    spark = docs.sparkSession
-    rows_in = common.numbered(docs, id_col, text_col)
-    parts = common.exchange_partitions(spark)
-    sent = rows_in.mapInArrow(_prefixes(parts), _ROW)  # read twice: the shingles of a prefix take more room than time
-    rows = common.materialize(sent.where("kind = 1").select(*"abcdef").mapInArrow(_decode, "uid long, doc_id long, n int, cls long, shared int"))
-    counts = sent.where("kind = 0").select("bucket", "a", "b").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "cls long, cnt long")
-    folded = rows.where("n > 0").select("cls", "n", "shared", F.lit(0).cast("long").alias("cnt"), "uid").union(counts.select("cls", F.lit(0), F.lit(0), "cnt", F.lit(None).cast("long")))
-    folded = folded.groupBy("cls").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.sum("cnt").alias("cnt"), F.min("uid").alias("uid"))
+def similar_classes(texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Of texts (uid, doc_id, data): their rows (uid, doc_id, n, k1, k2) and the classes of equal sets (k1, k2, m, low, first,
+    root); rows without shingles have n 0 and no class.
+
+    ``m`` is the number of rows, ``low`` the smallest doc_id, ``first`` the row of smallest (doc_id, uid); classes of one
+    component share ``root``, and only classes with links have one.
+    """
+    sent = texts.mapInArrow(_prefixes(parts), _ROW)  # read twice: the shingles of a prefix take more room than time
+    rows = common.materialize(sent.where("kind = 1").select(*"abcdefg").mapInArrow(_decode, "uid long, doc_id long, n int, k1 long, k2 long, shared int"))
+    counts = sent.where("kind = 0").select("bucket", "a", "b").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "k1 long, cnt long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid"))["uid"].alias("first")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.min("uid").alias("cls"), F.min("doc_id").alias("low"), first, F.count("*").alias("m"))
+    classes = common.materialize(classes.join(counts.groupBy("k1").agg(F.sum("cnt").alias("cnt")), "k1", "left"))
     least = F.floor((F.ceil(F.col("n") * NUM / DEN)) / SHARE) + 1
-    active = common.materialize(folded.where(F.col("shared") + F.col("cnt") >= least).select("cls", "n", "uid"))
+    active = common.materialize(classes.where(F.col("shared") + F.coalesce("cnt", F.lit(0)) >= least).select("cls", "n", F.col("cls").alias("uid")))
+    roots = linked_classes(texts, active, parts)
+    named = common.materialize(classes.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("k1", "k2", "m", "low", "first", "root"))
+    common.discard(classes, active, roots)
+    return rows, named
+
+
+def linked_classes(texts: DataFrame, active: DataFrame, parts: int) -> DataFrame:
+    """Components (v, root) of the classes ``active`` (cls, n, uid: a row of it); classes without links are absent."""
     key = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
-    sets = common.materialize(rows_in.select("uid", "data").join(key, "uid").select("cls", "n", "data").mapInArrow(_sets, "cls long, n int, tokens array<long>, least array<long>, sig binary, " + ", ".join(f"{w} long" for w in _WORDS)))
+    sets = common.materialize(texts.select("uid", "data").join(key, "uid").select("cls", "n", "data").mapInArrow(_sets, "cls long, n int, tokens array<long>, least array<long>, sig binary, " + ", ".join(f"{w} long" for w in _WORDS)))
 
     # the most alike neighbours of another component, in the order of each key
-    part, links = sets.select(F.col("cls").alias("v"), F.col("cls").alias("root")).limit(0), None
+    part, links, tables = sets.select(F.col("cls").alias("v"), F.col("cls").alias("root")).limit(0), None, []
     for r in range(ROUNDS):
         now = sets.select("cls", "n", "sig", F.slice("least", r * KEYS + 1, KEYS).alias("least")).join(part.withColumnRenamed("v", "cls"), "cls", "left")
         keyed = now.select("cls", "n", "sig", F.coalesce("root", "cls").alias("comp"), "least", F.posexplode("least").alias("i", "h")).select("i", "h", F.expr(f"element_at(least, cast((i + 1) % {KEYS} + 1 as int))").alias("g"), "cls", "n", "comp", "sig")
@@ -227,7 +237,9 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         near = best.select("a", F.explode(F.array("m1.b", "m2")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = common.materialize(verified(near, sets))
         links = found if links is None else links.union(found)
+        common.discard(part)
         part = common.components(links)
+        tables.append(found)
     comp = sets.select("cls", "n", "tokens", *_WORDS).join(part.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), "tokens", F.array(*_WORDS).alias("words"))
 
     # the exact join between components
@@ -251,9 +263,8 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = meet.join(m1, "ga").join(m2, "gb").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = common.materialize(verified(rest, sets))
     roots = common.components(links.union(more)) if not more.isEmpty() else part
-    named = rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left")
-    alone = F.when(F.col("n") == 0, F.xxhash64(F.lit("alone"), "uid"))
-    return named.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", alone, "cls").alias("root"), (F.col("n") == 0).alias("void"))
+    common.discard(sets, mine, more, *tables, part if roots is not part else None)
+    return roots
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,16 +275,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts of white space have no shingles and are alone. A null doc_id is kept and never names a component that has another
     id. Repeated rows are rows of one component. An empty table gives no rows; columns other than the two are ignored.
     """
-    rows = common.materialize(similar_rows(docs, id_col, text_col))
-    least = rows.where("not void").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = rows.where("not void").select("doc_id", "n_shingles", F.col("root").alias("r")).join(least, F.col("r") == F.col("root")).select("doc_id", "n_shingles", "component_id")
-    return linked.union(rows.where("void").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    table = common.numbered(common.texts(docs, id_col, text_col), "uid")
+    rows, classes = similar_classes(table, common.exchange_partitions(table))
+    common.discard(table)
+    linked = classes.where("root is not null")
+    named = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("classes"))
+    inside = common.joined_by_share(linked.select("k1", "k2", "m", "root"), named, ["root"], "classes", linked.count())
+    named = inside.select("k1", "k2", "m", "component_id").union(classes.where("root is null").select("k1", "k2", "m", "low"))
+    some = rows.where("n > 0")
+    out = common.joined_by_share(some, common.materialize(named), ["k1", "k2"], "m", some.count())
+    columns = ("doc_id", F.col("n").cast("long").alias("n_shingles"))
+    return out.select(*columns, "component_id").union(rows.where("n = 0").select(*columns, F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest (doc_id, position) stays."""
-    rows = common.materialize(similar_rows(docs, id_col, text_col))
-    first = rows.where("not void").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid")).alias("m"))
-    kept = first.select(F.col("m.uid").alias("uid")).union(rows.where("void").select("uid"))
-    name = common.fresh(docs, "uid")
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept.withColumnRenamed("uid", name), name, "left_semi").drop(name)
+    """The rows of ``docs`` without near copies: of each component the row with the smallest (doc_id, position) stays.
+
+    Rows, ids and texts count as in ``jaccard_components``; rows without words stay; all columns are kept as they are.
+    """
+    uid = common.fresh(docs, "uid")
+    table = common.numbered(docs, uid)
+    rows, classes = similar_classes(common.texts(table, id_col, text_col, F.col(uid).alias("uid")), common.exchange_partitions(table))
+    linked = classes.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("x"), "low", "first"))["first"].alias(uid))
+    kept = linked.select(uid).union(classes.where("root is null").select("first")).union(rows.where("n = 0").select("uid"))
+    return table.join(kept, uid, "left_semi").drop(uid)

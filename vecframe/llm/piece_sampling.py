@@ -36,32 +36,6 @@ _UNIT = re.compile(r" +[^ ]*")
 _HELD: dict = {}
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, end to end."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
-
-
-class Column:
-    """A growing array."""
-
-    def __init__(self, kind):
-        self.room, self.size = np.empty(1024, kind), 0
-
-    @property
-    def data(self) -> np.ndarray:
-        return self.room[: self.size]
-
-    def add(self, values: np.ndarray) -> None:
-        end = self.size + len(values)
-        if end > len(self.room):
-            room = np.empty(end * 3 // 2, self.room.dtype)
-            room[: self.size] = self.data
-            self.room = room
-        self.room[self.size : end] = values
-        self.size = end
-
-
 class Lattice:
     """The pieces of a model with byte fallback, and the forward-filtered lattices of units seen so far."""
 
@@ -100,8 +74,8 @@ class Lattice:
     def forget(self) -> None:
         self.units: dict[str, int] = {}
         #: Of all units end to end: candidates at each place; share, length and id of each candidate.
-        self.table = [Column(t) for t in (np.int16, np.float64, np.int16, np.int32)]
-        self.nodes, self.candidates, self.lengths = (Column(np.int64) for _ in range(3))
+        self.table = [kernels.Column(t) for t in (np.int16, np.float64, np.int16, np.int32)]
+        self.nodes, self.candidates, self.lengths = (kernels.Column(np.int64) for _ in range(3))
 
     def learn(self, units: list[str]) -> None:
         """Forward-filter the lattices of ``units``, those of one length together.
@@ -191,9 +165,9 @@ class Lattice:
         unit[order] = np.cumsum(new) - 1
         sizes = self.lengths.data[at_unit]
         node0 = np.cumsum(sizes) - sizes
-        counts = self.table[0].data[_ranges(self.nodes.data[at_unit], sizes)].astype(np.int64)
+        counts = self.table[0].data[kernels.ranges(self.nodes.data[at_unit], sizes)].astype(np.int64)
         first = np.cumsum(counts) - counts
-        pick = _ranges(self.candidates.data[at_unit], np.add.reduceat(counts, node0))
+        pick = kernels.ranges(self.candidates.data[at_unit], np.add.reduceat(counts, node0))
         table = self.table[1].data[pick] + np.repeat(np.arange(len(counts)), counts)
         steps, ids = self.table[2].data[pick], self.table[3].data[pick]
         per_row = np.array([len(x) for x in split])
