@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecframe.llm import fingerprints, html_text, lattice_lsh, near_join, packing, piece_sampling, suffix_dedup, token_counts, toxicity, warc
+from vecframe.llm import common, fingerprints, html_text, lattice_lsh, near_join, packing, piece_sampling, suffix_dedup, token_counts, toxicity, warc
 
 RNG = random.Random(3)
 VOCABULARY = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, text string, uid string, score int, spans int, n_chars lo
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "u", 1, 2, len(t or "")) for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], "u", 1, 2, len(TEXTS[5])), (None, BASE[7], "u", 1, 2, len(BASE[7]))]
-    return spark.createDataFrame(rows, SCHEMA).repartition(3, "doc_id").checkpoint() if spark.sparkContext.setCheckpointDir("/tmp/vecframe-tests") is None else None
+    return common.materialize(spark.createDataFrame(rows, SCHEMA).repartition(3, "doc_id"))
 
 
 @pytest.fixture(scope="module")
@@ -259,7 +259,7 @@ def test_pipeline(spark):
         before, docs = docs, stage(spark, docs, folder)
         if name != "packing":
             assert docs.columns == before.columns
-            docs = near_join.common.materialize(docs)
+            docs = common.materialize(docs)
             counts.append(docs.count())
     assert counts[0] > counts[1] > counts[2] == counts[3]
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
