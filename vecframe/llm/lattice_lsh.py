@@ -184,7 +184,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     shared = members.groupBy("cell", "tab").agg(F.count("*").alias("n"), F.max("home").alias("h")).where("n > 1 and h").select(F.col("cell").alias("c"), F.col("tab").alias("t"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     meet = members.join(shared, (F.col("cell") == F.col("c")) & (F.col("tab") == F.col("t"))).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
     meet = meet.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("vid", "cell", "tab", "home", "part", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"))
-    parts = common.exchange_partitions(vectors.sparkSession)
+    parts = common.exchange_partitions(coded)
     key = ("cell", "tab", "lo", "hi")
     found = meet.join(coded, "vid").repartition(parts, *key).sortWithinPartitions(*key).select(*key, "vid", "m", "home", "part", "unit", "cells").mapInArrow(_blocks(least), "vid long, links long, root long")
     found = common.materialize(found.groupBy("vid", "root").agg(F.sum("links").alias("links")))

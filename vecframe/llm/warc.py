@@ -1,7 +1,7 @@
 """WARC archives written and read as streams, with payloads as a table of chunks.
 
-Writing: each task streams its records into gzip members of archives in the shared folder, under a name that a repeated task
-writes again with equal content; a payload passes in chunks. Reading: a record's payload comes back as rows (record, chunk
+Writing: each task streams its records into gzip members of archives in the shared folder, under names of its own attempt, and
+only the archives of attempts that Spark commits are listed and read; a payload passes in chunks. Reading: a record's payload comes back as rows (record, chunk
 number, bytes) that carry the digest and length of the payload so far, so no reader holds a record whole; the last chunk has
 the digest of all. Equal payloads are written once: of a group the last page is the response, the others are revisits.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK = 1 << 20
+CHUNK, SLICE = 1 << 20, 8 << 10
 #: Bytes after which a task starts another archive.
 ARCHIVE_BYTES = 256 << 20
 #: Parts over which the pages of one payload are dealt in the join with its group.
@@ -67,20 +67,18 @@ def _header(row: dict, length: int, digest: str, kind: str) -> bytes:
 def _write(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _file_system(root)
-        part, number, out, size, records = TaskContext.get().partitionId(), 0, None, 0, 0
+        task, number, out, records = TaskContext.get(), 0, None, 0
         done: list[tuple[str, int]] = []
 
         def close():
             out.close()
-            final = f"{top}/part-{part:06d}-{number:04d}.warc.gz"
-            system.move(temporary, final)  # whole archives only, whatever happens to a task
-            done.append((final, records))
+            done.append((path, records))
 
         for batch in batches:
             for i in range(batch.num_rows):
                 if out is None:
-                    temporary, size, records = f"{top}/.{uuid.uuid4().hex}", 0, 0
-                    out = system.open_output_stream(temporary, compression=None)
+                    path, records = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz", 0
+                    out = system.open_output_stream(path, compression=None)
                 row = {c: batch.column(c)[i].as_py() for c in ("uid", "page_id", "url", "lead")}
                 value = batch.column("data")[i].as_buffer()
                 view = memoryview(value) if value is not None else memoryview(b"")
@@ -94,8 +92,8 @@ def _write(root: str):
                 if kind == "response":
                     pieces += [view[x : x + CHUNK] for x in range(0, len(view), CHUNK)]
                 for piece in [*pieces, b"\r\n\r\n"]:
-                    size += out.write(gz.compress(piece)) or 0
-                size += out.write(gz.flush()) or 0
+                    out.write(gz.compress(piece))
+                out.write(gz.flush())
                 records += 1
                 if out.tell() >= ARCHIVE_BYTES:
                     close()
@@ -109,23 +107,21 @@ def _write(root: str):
 
 
 def _inflate(stream) -> Iterator[bytes]:
-    """Decompressed pieces of a file of gzip members."""
-    raw, gz = b"", None
-    while True:
-        if not raw:
-            raw = stream.read(CHUNK)
-            if not raw:
-                rest = gz.flush() if gz else b""
-                if rest:
-                    yield rest
-                return
-        gz = gz or zlib.decompressobj(31)
-        piece = gz.decompress(raw, CHUNK)
-        raw = gz.unconsumed_tail
-        if gz.eof:
-            raw, gz = gz.unused_data, None
-        if piece:
-            yield piece
+    """Decompressed pieces of a file of gzip members; a member's rest is copied within a slice, not within all that was read."""
+    gz = None
+    while read := stream.read(CHUNK):
+        for x in range(0, len(read), SLICE):
+            raw = read[x : x + SLICE]
+            while raw:
+                gz = gz or zlib.decompressobj(31)
+                piece = gz.decompress(raw, CHUNK)
+                raw = gz.unconsumed_tail
+                if gz.eof:
+                    raw, gz = gz.unused_data, None
+                if piece:
+                    yield piece
+    if gz and (rest := gz.flush()):
+        yield rest
 
 
 class Records:
@@ -220,7 +216,8 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", html_co
     """Write ``pages`` as gzip WARC archives below the URI ``root`` (shared by all nodes): (path, records) of each archive.
 
     Of records with equal payloads of at least ``least_bytes`` the one with the largest id (the last such row) is a
-    response and the others are revisits. A null payload is empty; null ids are kept; an empty table writes nothing.
+    response and the others are revisits. A null payload is empty; null ids are kept; repeated rows are a record each; columns
+    other than the two and ``url`` are ignored; an empty table writes nothing.
     """
     system, top = _file_system(root)
     system.create_dir(top, recursive=True)
@@ -228,13 +225,22 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", html_co
 
 
 def read_archives(files: DataFrame, root: str) -> DataFrame:
-    """The chunk table of archives: length and digest of the payload up to each chunk, so of all of it at the last."""
-    parts = common.exchange_partitions(files.sparkSession)
-    return files.select("path").repartition(parts, "path").mapInArrow(_read(root), _CHUNKS)
+    """The chunk table of the archives listed in ``files`` (path): page_id, record_id, record_type, refers_to, chunk (from 0),
+    last, data, payload_bytes and payload_digest.
+
+    Length and digest are of the payload up to each chunk, so of all of it at the last; a revisit has one chunk without data
+    and the length and digest of the record it refers to. An empty payload has one empty chunk, an empty list gives no rows;
+    other columns are ignored; a payload that does not match its digest raises.
+    """
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(_read(root), _CHUNKS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Archives of all ``pages``, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archives of all ``pages``, read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Rows count as in ``write_archives``; the archives are removed when the driver's program ends.
+    """
     root = f"{common.shared_root(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    common.keep_until_exit(pages.sparkSession, root)
     files = write_archives(pages, root, id_col, html_col)
     return read_archives(files, root).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
