@@ -2,7 +2,8 @@
 
 Pieces hold spaces only at their start, so the lattice of a text falls apart at spaces into units; a unit's lattice is
 filtered forward once (the total weight of the paths to each place, and the weights of the pieces that end there) and
-remembered. Sampling runs backward: at each place a piece that ends there is drawn in proportion to its path weight. Draws come from
+remembered. Line feeds and tabs, which no longer piece holds, cut units too. A very long unit (text without spaces) is filtered
+place by place with one number a character, and is not remembered. Sampling runs backward: at each place a piece that ends there is drawn in proportion to its path weight. Draws come from
 a hash of seed, row key, unit and place, so a row's segmentation depends on nothing but its key and text. Characters without
 a piece fall back to byte pieces; so does a literal word mark, which keeps decoding exact.
 """
@@ -32,7 +33,9 @@ MEMORY_UNITS = 700_000
 PLAIN_LENGTH = 16
 #: Characters of text that are sampled at once.
 GROUP_CHARS = 1_000_000
-_UNIT = re.compile(r" +[^ ]*")
+#: Characters of a unit above which its lattice is not kept, and those of which candidates are held at once.
+LONG_UNIT = 5_000
+_CUTS = "\n\t\r"
 _HELD: dict = {}
 
 
@@ -68,6 +71,8 @@ class Lattice:
         self.finder.make_automaton()
         self.plain = np.exp(self.weights)
         self.longest = int(self.sizes.max())
+        cuts = "".join(c for c in _CUTS if not any(c in x for x in self.pieces if len(x) > 1))
+        self.unit = re.compile(rf" +[^ {cuts}]*|[{cuts}]|[^ {cuts}]+" if cuts else r" +[^ ]*")
         self.fallback = -alpha * len(self.bytes_of) - penalty
         self.forget()
 
@@ -155,8 +160,42 @@ class Lattice:
         """Ids of each text; ``keys``: one unsigned 64-bit key a text."""
         if len(self.units) > MEMORY_UNITS:
             self.forget()
-        split = [_UNIT.findall(" " + t) for t in texts]
+        split = [self.unit.findall(" " + t) for t in texts]
         flat = list(itertools.chain.from_iterable(split))
+        per_row = np.array([len(x) for x in split])
+        row = np.repeat(np.arange(len(texts)), per_row)
+        number = np.arange(len(flat)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+        salt = kernels.mix(keys + kernels.U(seed))[row] + number.astype(kernels.U) * kernels.U(0x9E3779B97F4A7C15)
+        long = [k for k, u in enumerate(flat) if len(u) > LONG_UNIT]
+        if not long:
+            out, owner = self._drawn(flat, salt)
+        else:
+            short = np.setdiff1d(np.arange(len(flat)), long)
+            found = [self._drawn([flat[k] for k in short], salt[short])] if len(short) else []
+            out, owner = [x[0] for x in found], [short[x[1]] for x in found]
+            for k in long:
+                out.append(self._long(flat[k], salt[k]))
+                owner.append(np.full(len(out[-1]), k))
+            out, owner = np.concatenate(out), np.concatenate(owner)
+            order = np.argsort(owner, kind="stable")
+            out, owner = out[order], owner[order]
+        odd = np.flatnonzero(out < 0)
+        if len(odd):
+            spelled = [[self.byte_ids[b] for b in chr(-int(out[i]) - 1).encode()] for i in odd]
+            repeat = np.ones(len(out), np.int64)
+            repeat[odd] = [len(x) for x in spelled]
+            ends = np.cumsum(repeat)
+            out, owner = np.repeat(out, repeat), np.repeat(owner, repeat)
+            for i, x in zip(odd, spelled, strict=True):
+                out[ends[i] - len(x) : ends[i]] = x
+        return np.split(out.astype(np.int32), np.cumsum(np.bincount(row[owner], minlength=len(texts)))[:-1])
+
+    @staticmethod
+    def _uniform(salt: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (kernels.mix(salt + at.astype(kernels.U) * kernels.U(0xD1B54A32D192ED03)) >> kernels.U(11)).astype(np.float64) * 2.0**-53
+
+    def _drawn(self, flat: list[str], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates drawn for each unit, end to end, and the unit of each."""
         self.learn(list(set(flat).difference(self.units)))
         known = np.fromiter(map(self.units.__getitem__, flat), np.int64, len(flat))
         order = np.argsort(known)  # draws go through the table in its order
@@ -170,14 +209,10 @@ class Lattice:
         pick = kernels.ranges(self.candidates.data[at_unit], np.add.reduceat(counts, node0))
         table = self.table[1].data[pick] + np.repeat(np.arange(len(counts)), counts)
         steps, ids = self.table[2].data[pick], self.table[3].data[pick]
-        per_row = np.array([len(x) for x in split])
-        row = np.repeat(np.arange(len(texts)), per_row)
-        number = np.arange(len(unit)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-        salt = kernels.mix(keys + kernels.U(seed))[row] + number.astype(kernels.U) * kernels.U(0x9E3779B97F4A7C15)
         at, live, drawn = sizes[unit], order, []
         while len(live):
             node = node0[unit[live]] + at[live] - 1
-            u = (kernels.mix(salt[live] + at[live].astype(kernels.U) * kernels.U(0xD1B54A32D192ED03)) >> kernels.U(11)).astype(np.float64) * 2.0**-53
+            u = self._uniform(salt[live], at[live])
             pick = np.minimum(np.searchsorted(table, node + u, side="right"), first[node] + counts[node] - 1)
             at[live] -= steps[pick]
             drawn.append((live, ids[pick]))
@@ -189,16 +224,50 @@ class Lattice:
         out, owner = np.empty(ends[-1], np.int64), np.repeat(np.arange(len(unit)), taken)
         for step, (units_now, drawn_ids) in enumerate(drawn):  # the last piece of a unit is drawn first
             out[ends[units_now] - 1 - step] = drawn_ids
-        odd = np.flatnonzero(out < 0)
-        if len(odd):
-            spelled = [[self.byte_ids[b] for b in chr(-int(out[i]) - 1).encode()] for i in odd]
-            repeat = np.ones(len(out), np.int64)
-            repeat[odd] = [len(x) for x in spelled]
-            ends = np.cumsum(repeat)
-            out, owner = np.repeat(out, repeat), np.repeat(owner, repeat)
-            for i, x in zip(odd, spelled, strict=True):
-                out[ends[i] - len(x) : ends[i]] = x
-        return np.split(out.astype(np.int32), np.cumsum(np.bincount(row[owner], minlength=len(texts)))[:-1])
+        return out, owner
+
+    def _ending(self, unit: str, lo: int, hi: int) -> list[list[tuple[int, int, float]]]:
+        """(length, id, weight) of the candidates that end at each place from ``lo`` to before ``hi``."""
+        out: list[list[tuple[int, int, float]]] = [[] for _ in range(hi - lo)]
+        begin = max(0, lo - self.longest + 1)
+        sizes, weights = self.sizes, self.weights
+        for end, piece in self.finder.iter(unit[begin:hi]):
+            end += begin - lo
+            if end >= 0:
+                out[end].append((int(sizes[piece]), piece, float(weights[piece])))
+        for e, some in enumerate(out):
+            if not any(n == 1 for n, _, _ in some):
+                c = unit[lo + e]
+                some.append((1, -ord(c) - 1, self.fallback * len(c.encode())))
+        return out
+
+    def _long(self, unit: str, salt: np.uint64) -> np.ndarray:
+        """The candidates drawn for one long unit: forward with the logarithm of each place's weight, then backward."""
+        n, exp, log = len(unit), math.exp, math.log
+        total = np.zeros(n + 1)
+        recent = [0.0]  # of the last places
+        for lo in range(0, n, LONG_UNIT):
+            hi = min(lo + LONG_UNIT, n)
+            for some in self._ending(unit, lo, hi):
+                w = [x + recent[-k] for k, _, x in some]
+                top = max(w)
+                recent.append(top + log(sum([exp(x - top) for x in w])))
+            total[lo + 1 : hi + 1] = recent[lo - hi :]
+            recent = recent[-self.longest :]
+        out, at = [], n
+        for lo in range((n - 1) // LONG_UNIT * LONG_UNIT, -1, -LONG_UNIT):
+            hi = min(lo + LONG_UNIT, n)
+            ending, base = self._ending(unit, lo, hi), max(0, lo - self.longest)
+            held, u = total[base : hi + 1].tolist(), self._uniform(np.full(hi - lo, salt), np.arange(lo + 1, hi + 1)).tolist()
+            while at > lo:
+                some, rest = ending[at - 1 - lo], u[at - 1 - lo]
+                for size, piece, w in some:
+                    rest -= exp(w + held[at - size - base] - held[at - base])
+                    if rest < 0:
+                        break
+                out.append(piece)
+                at -= size
+        return np.array(out[::-1], np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose sampling gave ``ids``: joined pieces without the space before the first."""

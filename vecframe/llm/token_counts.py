@@ -9,6 +9,7 @@ that crosses a boundary goes to one section by RULES: ``start`` (the section of
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 RULES = ("start", "end", "largest")
+#: White space of the pattern, and the length of a run of it that is encoded by itself: the pattern's search backs off over a
+#: run place by place and fails at about a million. What is returned does not depend on this length.
+_SPACE, LONG_RUN = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000", 100_000
 _HELD: dict = {}
 _OUT = "doc_id long, section long, start long, n_bytes long, n_tokens long, n_crossing long, doc_tokens long"
 
@@ -36,9 +40,20 @@ class Encoder:
         for token, i in ranks.items():
             self.lengths[i] = len(token)
 
+    def ids(self, text: str) -> np.ndarray:
+        """The tokens of a text. A long run of white space before a word is one token sequence but for its last character,
+        which the pattern gives to what follows."""
+        parts, at = [], 0
+        for run in re.finditer(f"[{_SPACE}]{{{LONG_RUN},}}", text) if len(text) >= LONG_RUN else ():
+            end = run.end() - (run.end() < len(text))
+            parts += [self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()), self.encoding._encode_single_piece(text[run.start() : end])]
+            at = end
+        parts.append(self.encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate([np.asarray(x, np.uint32) for x in parts])
+
     def ends(self, text: str) -> np.ndarray:
         """Byte position after each token."""
-        return np.cumsum(self.lengths[self.encoding.encode_to_numpy(text, disallowed_special=())])
+        return np.cumsum(self.lengths[self.ids(text)])
 
 
 def line_starts(data: bytes) -> np.ndarray:
