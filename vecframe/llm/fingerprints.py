@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BINS, BITS, WORDS, ATTEMPTS = 256, 8, 5, 6
-#: Rows between two bounds of ids, about, and bounds at most.
-RANGE_ROWS, RANGES = 512, 4096
+#: Rows of a range of ids, at least, and ranges, about: at 100 TB a range is a window of some 500 MB, which sorts by spilling.
+RANGE_ROWS, RANGES = 512, 200_000
+#: Quantiles of the id, between which ranges are even.
+QUANTILES = 64
 _SHIFT = 63 - BINS.bit_length() + 1
 _MASK = (1 << _SHIFT) - 1
 _MARKS = [(j << _SHIFT) | _MASK for j in range(BINS)]
@@ -93,20 +95,50 @@ def as_text(fp: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), ""), F.lit(""))
 
 
-def with_next(docs: DataFrame, payload: list[str], order: list[str], bucket_of) -> DataFrame:
+def _part(x: Column, low: Column, high: Column, parts: int) -> Column:
+    """Which of so many even parts of [low, high] holds x, from the top down."""
+    share = (high.cast("double") - x.cast("double")) / (high.cast("double") - low.cast("double") + 1.0)
+    return F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1)).cast("long")
+
+
+def ranges(rows: DataFrame, n: int) -> Column:
+    """The number of a row's range by (o, th) descending, for columns o and th (a hash of the text) of ``n`` rows.
+
+    Quantiles of o cut the rows, and even steps of o cut what lies between two quantiles; a value of o that spans quantiles, so
+    that many rows have it, is cut by even steps of th.
+    """
+    steps = max(1, math.ceil(min(n / RANGE_ROWS, RANGES) / QUANTILES))
+    found = rows.select(F.min("o").alias("a"), F.max("o").alias("z"), F.percentile_approx("o", [i / QUANTILES for i in range(1, QUANTILES)], 100 * QUANTILES).alias("q")).first()
+    if found is None or found["a"] is None:
+        return F.lit(0).cast("long")
+    bounds = [found["a"], *found["q"], found["z"]]
+    hot = sorted({x for x, y in zip(bounds, bounds[1:]) if x == y})
+    cuts = sorted({*bounds, *hot, *(x - 1 for x in hot if x > -(1 << 63))})  # a cell holds the values over one cut up to the next
+    cell = F.size(F.filter(_longs(cuts), lambda x: x < F.col("o")))
+    low, high = (F.get(_longs(x), cell) for x in ([cuts[0], *cuts], [*cuts, cuts[-1]]))
+    inner = _part(F.col("o"), low, high, steps)
+    if hot:
+        inner = F.when(F.array_contains(_longs(hot), F.col("o")), _part(F.col("th"), F.lit(-(1 << 63)), F.lit((1 << 63) - 1), steps * 4)).otherwise(inner)
+    return (F.lit(len(cuts)) - cell).cast("long") * (steps * 4) + inner
+
+
+def with_next(docs: DataFrame, add: str, value: Column, payload: list[str], order: list[str], number: Column) -> DataFrame:
     """Each row with ``next``, a struct of the payload of the row after it by ``order`` descending; after the last, the first.
 
-    ``order[0]`` is a long. Rows are dealt into ranges between quantiles of it, and the first row of each range is copied to
-    the end of the range before, so each range is a window of its own. The copies are at most RANGES rows.
+    ``number`` ascends with that order, and equal numbers are a range. The first row of each range is copied to the end of the
+    range before, so each range is a window of its own. ``add`` is a column of ``value``, computed once a row and copy.
     """
-    rows = docs.withColumn("b", bucket_of)
+    rows = docs.withColumn("b", number)
     heads = rows.groupBy("b").agg(F.max(F.struct(*order)).alias("head"))
-    line = Window.orderBy("b")  # one row a range
-    heads = heads.withColumn("to", F.coalesce(F.lag("b").over(line), F.max("b").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).withColumnRenamed("b", "hb")
-    copies = rows.join(F.broadcast(heads), (F.col("b") == F.col("hb")) & (F.struct(*order) == F.col("head"))).dropDuplicates(["hb"])
+    heads = heads.withColumn("hb", F.col("b"))
+    line = Window.orderBy("hb")  # one row a range
+    heads = heads.withColumn("to", F.coalesce(F.lag("hb").over(line), F.max("hb").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("hb", "head", "to")
+    found = (F.col("b") == F.col("hb")) & (F.struct(*order) == F.col("head"))
+    copies = rows.join(F.broadcast(heads), found).dropDuplicates(["hb"])
     copies = copies.select(*docs.columns, F.col("to").alias("b"), F.lit(1).alias("copy"))
     window = Window.partitionBy("b").orderBy("copy", *(F.col(c).desc() for c in order))
-    return rows.select(*docs.columns, "b", F.lit(0).alias("copy")).union(copies).withColumn("next", F.lead(F.struct(*payload)).over(window)).where("copy = 0").drop("b", "copy")
+    both = rows.select(*docs.columns, "b", F.lit(0).alias("copy")).union(copies).withColumn(add, value)
+    return both.withColumn("next", F.lead(F.struct(*payload)).over(window)).where("copy = 0").drop("b", "copy")
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,11 +147,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc_id = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("o"), F.xxhash64(text).alias("th"))
     n = docs.count()
-    ranges = max(1, min(RANGES, math.ceil(n / RANGE_ROWS)))
-    bounds = rows.select(F.percentile_approx("o", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges).alias("q")).first()["q"] or []
-    bucket = F.size(F.filter(_longs(sorted(set(bounds))), lambda x: x > F.col("o"))) if bounds else F.lit(0)
-    rows = rows.withColumn("fp", fingerprint(F.col("text")))
-    return with_next(rows, ["text", "fp"], ["o", "th"], bucket)
+    return with_next(rows, "fp", fingerprint(F.col("text")), ["text", "fp"], ["o", "th"], ranges(rows, n))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
