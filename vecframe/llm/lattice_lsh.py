@@ -5,9 +5,11 @@ home cell. A vector also looks into the PROBES neighbouring cells nearest to its
 one's home is among the other's cells; pairs that meet are verified by cosine in double precision.
 
 Equal vectors are one entry with a multiplicity. A cell with more than BLOCK members is dealt into parts, and every two parts
-meet in a block of their own, so no task holds a whole cell. Links are counted in the blocks, not emitted: a pair counts only
-in the first table, and there in the lower cell, in which it meets, which both vectors' cells tell. A block sends on counts
-and a spanning forest, both linear in its members.
+meet in a block of their own, so no task holds a whole cell. Blocks are read twice: first with a sketch of each vector (signs
+of random projections), which tells members that can have no partner there, then with the vectors of the others, so that a
+vector travels only to blocks where it is likely to link. Links are counted in the blocks, not emitted: a pair counts only in
+the first table, and there in the lower cell, in which it meets, which both vectors' cells tell; cells are computed again for
+the members with links. A block sends on counts and a spanning forest, both linear in its members.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from . import common, kernels
 TABLES, PROBES, SCALE = 8, 8, 1.3
 LEAST = 0.95
 BLOCK = 2048
+#: Bits of a sketch, and standard deviations by which two sketches may differ in more bits than vectors of the least cosine do.
+SKETCH, SPREAD = 256, 6.0
 _CHUNK = 20_000
 
 
@@ -72,30 +77,39 @@ def cells(units: np.ndarray) -> np.ndarray:
     return out
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = batch.column("vec")
-        sizes = np.array([len(x) for x in column])
-        for d in np.unique(sizes):
-            rows = np.flatnonzero(sizes == d)
-            units = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
-            units = units / np.abs(units).max(axis=1, keepdims=True)
-            units = units / np.linalg.norm(units, axis=1, keepdims=True)
-            codes = cells(units)
-            pick = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pick.column("vid"), pick.column("m"), pa.array([u.tobytes() for u in units]), pa.array([c.tobytes() for c in codes])], names=["vid", "m", "unit", "cells"])
+def sketches(units: np.ndarray) -> np.ndarray:
+    """(rows, SKETCH / 64) words of signs of random projections."""
+    signs = units @ np.random.default_rng(7).normal(size=(units.shape[1], SKETCH)) >= 0
+    return np.packbits(signs, axis=1).view(kernels.U)
+
+
+def most_apart(least: float) -> int:
+    """Bits in which sketches of vectors with cosine ``least`` differ at most, but for a chance of one in 10**9."""
+    p = np.arccos(min(1.0, max(-1.0, least))) / np.pi
+    return int(np.ceil(SKETCH * p + SPREAD * np.sqrt(SKETCH * p * (1 - p))))
+
+
+def units_of(column: pa.Array, dimension: int) -> np.ndarray:
+    """Rows of equal length as unit vectors in double precision, the same from the same numbers."""
+    units = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension).astype(np.float64)
+    units = units / np.abs(units).max(axis=1, keepdims=True)
+    return units / np.linalg.norm(units, axis=1, keepdims=True)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each vector its sketch and its cells of all tables, in the order of tables, home first."""
     width = TABLES * (1 + PROBES)
-    home = np.tile(np.arange(1 + PROBES) == 0, TABLES)
     for batch in batches:
-        codes = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.int64)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("vid").take(pa.array(np.repeat(np.arange(n), width))), pa.array(codes), pa.array(np.tile(home, n)), pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), n))], names=["vid", "cell", "home", "tab"])
+        column = batch.column("vec")
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        for d in np.unique(sizes):
+            rows = pa.array(np.flatnonzero(sizes == d))
+            units = units_of(column.take(rows), d)
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(units) + 1, width, dtype=np.int32)), pa.array(cells(units).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("vid").take(rows), pa.array([x.tobytes() for x in sketches(units)]), codes], names=["vid", "sketch", "cells"])
 
 
-def _canonical(table: int, cell: int, home: np.ndarray, codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _canonical(table: int, cell: int, codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs meet here first: in no earlier table, and in no lower cell of this one."""
     out = np.empty(len(i), bool)
     for x in range(0, len(i), _CHUNK):
@@ -122,6 +136,57 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _by_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
+    """(cell, tab, lo, hi) and the rows of each block of batches that are sorted by them."""
+    at, held = None, []
+    for batch in batches:
+        for cell, table, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "tab", "lo", "hi", *names)), strict=True):
+            key = (cell, table, lo, hi)
+            if key != at:
+                if len(held) > 1:
+                    yield at, held
+                at, held = key, []
+            held.append(row)
+    if len(held) > 1:
+        yield at, held
+
+
+def _likely(least: float):
+    """Members of each block whose sketch leaves room for a link with another there."""
+    most = most_apart(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = []
+
+        def flush():
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+            out.clear()
+            types = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, bool)
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, types, strict=True)], names=["vid", "cell", "tab", "lo", "hi", "part", "home"])
+
+        for (cell, table, lo, hi), rows in _by_block(batches, ("vid", "part", "home", "sketch")):
+            vid, part, home = (np.array(x) for x in zip(*((r[0], r[1], r[2]) for r in rows), strict=True))
+            words = np.frombuffer(b"".join(r[3] for r in rows), kernels.U).reshape(len(rows), -1)
+            some = np.zeros(len(rows), bool)
+            for x in range(0, len(rows), 256):
+                apart = sum(np.bitwise_count(words[x : x + 256, None, w] ^ words[None, :, w]).astype(np.int32) for w in range(words.shape[1]))
+                near = (apart <= most) & (home[x : x + 256, None] | home[None, :])
+                if lo != hi:
+                    near &= part[x : x + 256, None] != part[None, :]
+                else:
+                    near[np.arange(len(near)), x + np.arange(len(near))] = False
+                some[x : x + 256] = near.any(axis=1)
+            if some.any():
+                n = int(some.sum())
+                out.append([vid[some], *(np.full(n, v) for v in (cell, table, lo, hi)), part[some], home[some]])
+                if len(out) >= 5000:
+                    yield flush()
+        if out:
+            yield flush()
+
+    return run
+
+
 def _blocks(least: float):
     def settle(key, rows) -> Iterator[pa.RecordBatch]:
         cell, table, lo, hi = key
@@ -129,17 +194,20 @@ def _blocks(least: float):
         by_size: dict[int, list[int]] = {}
         for k, r in enumerate(rows):
             by_size.setdefault(len(r[4]), []).append(k)
-        for at in by_size.values():
+        for d, at in by_size.items():
             at = np.array(at)
-            units = np.frombuffer(b"".join(rows[k][4] for k in at), np.float64).reshape(len(at), -1)
-            codes = np.frombuffer(b"".join(rows[k][5] for k in at), np.int64).reshape(len(at), TABLES, 1 + PROBES)
+            units = units_of(pa.array([rows[k][4] for k in at]), d)
             h, p, ids, mult = home[at], part[at], vid[at], m[at]
             i, j = np.nonzero(np.triu(units @ units.T >= least, 1))
             ok = h[i] | h[j]
             if lo != hi:
                 ok &= p[i] != p[j]
             i, j = i[ok], j[ok]
-            keep = _canonical(table, cell, h, codes, i, j)
+            if not len(i):
+                continue
+            linked = np.unique(np.concatenate((i, j)))
+            codes = cells(units[linked])
+            keep = _canonical(table, cell, codes, np.searchsorted(linked, i), np.searchsorted(linked, j))
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
@@ -149,18 +217,8 @@ def _blocks(least: float):
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[label[some]])], names=["vid", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in batches:
-            for cell, table, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "tab", "lo", "hi", "vid", "m", "home", "part", "unit", "cells")), strict=True):
-                key = (cell, table, lo, hi)
-                if key != at and held:
-                    if len(held) > 1:
-                        yield from settle(at, held)
-                    held = []
-                at = key
-                held.append(row)
-        if len(held) > 1:
-            yield from settle(at, held)
+        for key, rows in _by_block(batches, ("vid", "m", "home", "part", "vec")):
+            yield from settle(key, rows)
 
     return run
 
@@ -173,27 +231,34 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows link with each other. A null id is kept and names no component that has another id. An empty table gives no rows.
     """
     vec = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
-    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("vec"))
+    table = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").alias("own"), vec.alias("vec"))
     odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.coalesce(F.col("vec").isNotNull() & ~odd & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("k1", F.when(fine, F.xxhash64("vec"))).withColumn("k2", F.when(fine, F.xxhash64(F.lit(7), F.col("vec"))))
-    groups = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("uid").alias("vid"), F.count("*").alias("m"), F.min("vec_id").alias("low"), F.first("vec").alias("vec"))
-    held = common.materialize(groups)
-    coded = common.materialize(held.select("vid", "m", "vec").mapInArrow(_encode, "vid long, m long, unit binary, cells binary"))
-    members = coded.select("vid", "cells").mapInArrow(_members, "vid long, cell long, home boolean, tab int")
-    shared = members.groupBy("cell", "tab").agg(F.count("*").alias("n"), F.max("home").alias("h")).where("n > 1 and h").select(F.col("cell").alias("c"), F.col("tab").alias("t"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    meet = members.join(shared, (F.col("cell") == F.col("c")) & (F.col("tab") == F.col("t"))).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
-    meet = meet.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("vid", "cell", "tab", "home", "part", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"))
-    parts = common.exchange_partitions(coded)
+    rows = table.withColumn("k1", F.when(fine, F.xxhash64("vec"))).withColumn("k2", F.when(fine, F.xxhash64(F.lit(7), F.col("vec"))))
+    groups = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min("vec_id").alias("low"), F.first("own").alias("vec"))
+    held = common.numbered(groups, "vid")
+    members = common.materialize(held.select("vid", "vec").mapInArrow(_members, "vid long, sketch binary, cells array<long>"))
+    parts = common.exchange_partitions(members)
+    wide = 1 + PROBES
+    each = members.select("vid", "sketch", F.posexplode("cells").alias("at", "cell"))
+    each = each.select("vid", "sketch", "cell", F.floor(F.col("at") / wide).cast("int").alias("tab"), (F.col("at") % wide == 0).alias("home"))
+    shared = each.groupBy("cell", "tab").agg(F.count("*").alias("n"), F.max("home").alias("h")).where("n > 1 and h").select("cell", "tab", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    meet = each.join(shared, ["cell", "tab"]).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+    meet = meet.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("vid", "cell", "tab", "home", "part", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "sketch")
     key = ("cell", "tab", "lo", "hi")
-    found = meet.join(coded, "vid").repartition(parts, *key).sortWithinPartitions(*key).select(*key, "vid", "m", "home", "part", "unit", "cells").mapInArrow(_blocks(least), "vid long, links long, root long")
+    likely = common.materialize(meet.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_likely(least), "vid long, cell long, tab int, lo int, hi int, part int, home boolean"))
+    found = likely.join(held.select("vid", "m", "vec"), "vid").repartition(parts, *key).sortWithinPartitions(*key).select(*key, "vid", "m", "home", "part", "vec").mapInArrow(_blocks(least), "vid long, links long, root long")
     found = common.materialize(found.groupBy("vid", "root").agg(F.sum("links").alias("links")))
     counts = found.groupBy("vid").agg(F.sum("links").alias("links"))
     roots = common.components(found.select(F.col("vid").alias("a"), F.col("root").alias("b")))
-    named = held.select("k1", "k2", "vid", "m", "low").join(counts, "vid", "left").join(roots.withColumnRenamed("v", "vid"), "vid", "left").select("k1", "k2", "m", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "vid").alias("root"))
-    named = common.materialize(named)
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r")
-    named = named.join(lows, F.col("root") == F.col("r")).select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "k1", "k2").join(named, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
-    component = F.when(F.col("g1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    named = held.select("k1", "k2", "vid", "m", "low").join(counts, "vid", "left").join(roots.withColumnRenamed("v", "vid"), "vid", "left")
+    named = common.materialize(named.select("k1", "k2", "m", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "vid").alias("root")))
+    common.discard(members, likely, found, roots)
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("entries"))
+    inside = common.joined_by_share(named, lows, ["root"], "entries", named.count())
+    inside = common.materialize(inside.select("k1", "k2", "m", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id"))
+    usable = rows.where("k1 is not null").select("vec_id", "k1", "k2")
+    out = common.joined_by_share(usable, inside, ["k1", "k2"], "m", usable.count()).select("vec_id", "n_links", "component_id")
+    out = out.union(rows.where("k1 is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    common.discard(named, held)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
