@@ -23,7 +23,7 @@ from .kernels import release
 
 #: Labelled rows that the fit takes at most, of each label, by the order of a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
-#: Features kept at most, and the least standard score that a feature needs.
+#: The model's size: features kept at most, and the least standard score that a feature needs, against chance words.
 FEATURES, LEAST_Z = 6000, 3.0
 THRESHOLD = 0.7
 #: Words whose weight a worker remembers.
@@ -54,7 +54,7 @@ class Model:
         out, begin, z, any_word = [], 0, self.bias, False
         for m in _PIECES.finditer(text):
             piece = m[0]
-            if piece[0] in _ENDS:
+            if piece[0] in _ENDS:  # as in ``score``
                 if any_word:
                     out.append((begin, m.end(), z))
                 begin, z, any_word = m.end(), self.bias, False
@@ -70,11 +70,11 @@ class Model:
         known = self._words
         if len(known) > MEMORY_WORDS:
             known.clear()
-        pieces = _PIECES.findall(text.lower())
+        pieces = _PIECES.findall(text)
         values = list(map(known.get, pieces))
         if None in values:
             for p in {p for p, v in zip(pieces, values, strict=True) if v is None}:
-                known[p] = np.nan if p[0] in _ENDS else self.word(p)
+                known[p] = np.nan if p[0] in _ENDS else self.word(p.lower())
             values = list(map(known.__getitem__, pieces))
         z = np.array([*values, np.nan])
         ends = np.isnan(z)
@@ -86,6 +86,12 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, logits).sum()))
 
 
+    def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
+        """(start, end, probability) of the sentences at or above ``least``, in order; if there is none, of the likeliest."""
+        found = [(s, e, float(1 / (1 + np.exp(-z)))) for s, e, z in self.sentences(text)]
+        return [x for x in found if x[2] >= least] or sorted(found, key=lambda x: -x[2])[:1]
+
+
 def fit(rows: Iterator[tuple[str, int]], share: float | None = None, steps: int = 400) -> Model:
     """The model of (text, label) rows. ``share``: the part of toxic texts in the table the rows were drawn from.
 
@@ -94,7 +100,7 @@ def fit(rows: Iterator[tuple[str, int]], share: float | None = None, steps: int
     words: dict[str, int] = {}
     docs, labels = [], []
     for text, label in rows:
-        ids = [-1 if p[0] in _ENDS else words.setdefault(p, len(words)) for p in _PIECES.findall((text or "").lower())]
+        ids = [-1 if p[0] in _ENDS else words.setdefault(p, len(words)) for p in map(str.lower, _PIECES.findall(text or ""))]
         docs.append(np.array([*ids, -1], np.int32))
         labels.append(int(label))
     y = np.array(labels, bool)
@@ -190,31 +196,55 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
 
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, sentence, score) of the sentences at or above ``least``; characters, end exclusive."""
-    floor = np.log(least / (1 - least))
+    """(doc_id, start, end, sentence, score) of the sentences at or above ``least``; characters, end exclusive.
+
+    Null and empty texts and texts without words have none; repeated rows give theirs each, null ids are kept, other columns
+    are ignored, an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, s, e, t[s:e], float(1 / (1 + np.exp(-z)))) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for s, e, z in model.sentences(t) if z >= floor]
+            rows = [(i, s, e, t[s:e], p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for s, e, p in model.offending(t, least) if p >= least]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "sentence", "score"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, sentence string, score double")
 
 
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+
+
+def _located(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            scores = [model.score(t) for t in texts]
+            spans = [[dict(zip(("start", "end", "score"), x, strict=True)) for x in model.offending(t)] if s >= THRESHOLD else [] for t, s in zip(texts, scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "score", "sentences"])
+            release()
+
+    return run
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD).
+    """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD), sentences.
 
-    Only the text enters a score, so repeated rows score alike; null and empty texts score as one plain sentence. Null ids
-    are never held out. Without usable labels all scores are near 0. An empty table gives no rows.
+    ``sentences`` are the spans (start, end in characters, score) of a predicted text that offend by ``Model.offending``;
+    empty for others. Only the text enters a score, so repeated rows score alike; null and empty texts score as one plain
+    sentence. Null ids are never held out. Without usable labels all scores are near 0. An empty table gives no rows; columns
+    other than id and text are ignored.
     """
     model = train(docs, labels, id_col, text_col)
-    rows = scored(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), model)
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = rows.mapInArrow(_located(model), "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "sentences")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is under THRESHOLD, with all their columns."""
+    """The rows of ``docs`` whose score is under THRESHOLD, with all their columns, whatever their names.
+
+    Texts score as in ``toxicity_scores``, so null and empty texts stay where plain sentences do; an empty table stays empty.
+    """
     name = fresh(docs, "score")
     return scored(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < THRESHOLD).drop(name)
-
