@@ -6,7 +6,8 @@ window. Equal stretches (128-bit BLAKE2b of their bytes) are combined in the bat
 third of all documents travels once a batch. A stretch that occurs once under an anchor of its own has no equal window.
 
 Deciding: for every other anchor one example of each stretch is fetched, and a suffix array is built over the block of them,
-in text order, with a second copy of each stretch that occurs more than once at the end. Previous and next smaller text
+in text order, with a second copy of each stretch that occurs more than once at the end (a copy's ranks are its example's, so
+they are computed once). Previous and next smaller text
 positions in suffix order, with the least common prefix on the way to them, give the longest previous factor of every window:
 it reaches WIDTH exactly where an earlier equal window exists. The mirrored array (next greater positions) tells later ones.
 Copies of a stretch beyond the second share the second's verdict.
@@ -197,36 +198,39 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kernels.release()
 
 
-def suffix_ranks(text: np.ndarray, depth: int = WIDTH) -> dict[int, np.ndarray]:
-    """Dense ranks of all positions by their first 8, 16, 32 ... and ``depth`` bytes, by prefix doubling; past the end counts
-    as zeros."""
+def suffix_ranks(text: np.ndarray, starts: np.ndarray, depth: int = WIDTH) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Dense ranks of all positions by their first 8, 16, 32 ... bytes, by prefix doubling, and of ``starts`` by ``depth``
+    bytes; past the end counts as zeros."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(_U)
     key = np.zeros(n, _U)
     for i in range(8):
         key |= padded[i : i + n] << _U(56 - 8 * i)
-    have, out = 8, {8: np.unique(key, return_inverse=True)[1].astype(np.int64)}
-    while have < depth:
-        rank, step = out[have], min(have, depth - have)
+    have, out = 8, {8: np.unique(key, return_inverse=True)[1]}
+    while have * 2 < depth:
         rest = np.zeros(n, np.int64)
-        rest[: max(0, n - step)] = rank[step:] + 1
-        have += step
-        out[have] = np.unique(rank * (n + 1) + rest, return_inverse=True)[1].astype(np.int64)
-    return out
+        rest[: max(0, n - have)] = out[have][have:] + 1
+        out[have * 2] = np.unique(out[have] * (n + 1) + rest, return_inverse=True)[1]
+        have *= 2
+    rank = out[have]
+    return out, np.unique(rank[starts] * (n + 1) + rank[starts + (depth - have)], return_inverse=True)[1]
 
 
-def common_prefixes(text: np.ndarray, ranks: dict[int, np.ndarray], order: np.ndarray) -> np.ndarray:
-    """At each place of ``order`` the length, at most WIDTH, of the prefix common with the place before; 0 at the first."""
+def common_prefixes(text: np.ndarray, ranks: dict[int, np.ndarray], whole: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """At each place of ``order`` (positions) the length, at most WIDTH, of the prefix common with the place before; 0 at the
+    first. ``whole``: the places' ranks by WIDTH bytes."""
     a, b, last = order[:-1], order[1:], len(text) - 1  # places past the end are met with WIDTH in common only
-    out = np.zeros(len(a), np.int64)
-    for size in sorted((k for k in ranks if k < WIDTH), reverse=True):
-        out += size * (ranks[size][np.minimum(a + out, last)] == ranks[size][np.minimum(b + out, last)])
+    out = np.where(whole[1:] == whole[:-1], WIDTH, 0)
+    some = np.flatnonzero(out == 0)
+    a, b, part = a[some], b[some], np.zeros(len(some), np.int64)
+    for size in sorted(ranks, reverse=True):
+        part += size * (ranks[size][np.minimum(a + part, last)] == ranks[size][np.minimum(b + part, last)])
     still = np.ones(len(a), bool)
     for _ in range(7):
-        still &= (out < WIDTH) & (text[np.minimum(a + out, last)] == text[np.minimum(b + out, last)])
-        out += still
-    out[ranks[WIDTH][a] == ranks[WIDTH][b]] = WIDTH
-    return np.concatenate(([0], np.minimum(out, WIDTH)))
+        still &= text[np.minimum(a + part, last)] == text[np.minimum(b + part, last)]
+        part += still
+    out[some] = np.minimum(part, WIDTH - 1)
+    return np.concatenate(([0], out))
 
 
 def nearest_smaller(values: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
@@ -256,25 +260,25 @@ def longest_factors(order: np.ndarray, prefixes: np.ndarray, later: bool = False
 
 def repeated_windows(parts: list[bytes], counts: list[int], keep_first: bool) -> list[np.ndarray]:
     """For each part the window starts to remove. Parts stand in text order; a part occurs counts[i] times in the table."""
-    again = [i for i, c in enumerate(counts) if c > 1]
-    whole = [*parts, *(parts[i] for i in again)]
-    text = np.frombuffer(b"".join(whole), np.uint8)
-    lengths = np.array([len(p) for p in whole])
+    text = np.frombuffer(b"".join(parts), np.uint8)
+    lengths = np.array([len(p) for p in parts])
     windows = lengths - WIDTH + 1
     first = np.cumsum(windows) - windows
     at = kernels.ranges(np.cumsum(lengths) - lengths, windows)
-    ranks = suffix_ranks(text)
-    suffixes = np.argsort(ranks[WIDTH][at], kind="stable")
-    order = at[suffixes]
-    prefixes = common_prefixes(text, ranks, order)
-    gone = longest_factors(order, prefixes) >= WIDTH
+    ranks, rank = suffix_ranks(text, at)
+    again = kernels.ranges(first, windows)[np.repeat(np.array(counts) > 1, windows)]  # windows of second copies
+    place = np.concatenate((at, len(text) + at[again]))
+    rank, at = np.concatenate((rank, rank[again])), np.concatenate((at, at[again]))
+    suffixes = np.argsort(rank, kind="stable")  # equal windows by place
+    prefixes = common_prefixes(text, ranks, rank[suffixes], at[suffixes])
+    gone = longest_factors(place[suffixes], prefixes) >= WIDTH
     if not keep_first:
-        gone |= longest_factors(order, prefixes, later=True) >= WIDTH
+        gone |= longest_factors(place[suffixes], prefixes, later=True) >= WIDTH
     hit = np.zeros(len(at), bool)
     hit[suffixes] = gone
-    if again and not hit[first[len(parts)] :].all():
+    if not hit[len(at) - len(again) :].all():
         raise AssertionError("a second copy has windows without an earlier match")
-    return [np.flatnonzero(hit[a : a + n]) for a, n in zip(first[: len(parts)].tolist(), windows.tolist())]
+    return [np.flatnonzero(hit[a : a + n]) for a, n in zip(first.tolist(), windows.tolist(), strict=True)]
 
 
 def spans(starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
