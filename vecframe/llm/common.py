@@ -43,7 +43,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     _WRITTEN[path] = spark
@@ -90,15 +90,16 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-#: Bytes of a stored table for which an explicit exchange has one partition.
-PARTITION_BYTES = 6 << 20
+#: Bytes of a stored table for which an explicit exchange has one partition, and partitions at least.
+PARTITION_BYTES, PARTITIONS = 8 << 20, 64
 
 
 def exchange_partitions(table: DataFrame) -> int:
-    """Partitions for an explicit exchange: follows the bytes of a table of ``materialize``, never under the session's setting."""
+    """Partitions for an explicit exchange: follows the bytes of a table of ``materialize``, never under the session's setting
+    or PARTITIONS, so that what meets in one Python worker stays small."""
     spark = table.sparkSession
     size = Files(spark).size(table._written) if hasattr(table, "_written") else 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PARTITION_BYTES))
+    return max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PARTITION_BYTES))
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
