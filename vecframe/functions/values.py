@@ -54,8 +54,8 @@ def rank_of_type(kind: T.DataType) -> int | None:
 
 
 def metadata_from_json(column: Column) -> Column:
-    """A JSON object as METADATA: integers are longs, other numbers doubles; any other value raises, null is no metadata."""
-    values = F.from_json(column, "map<string,variant>")
+    """A JSON object as METADATA: integers are longs, other numbers doubles; any other value or text raises, null is no metadata."""
+    values = F.from_json(column, "map<string,variant>", {"mode": "FAILFAST"})
     kind = lambda v: F.schema_of_variant(v)
     whole = lambda v: kind(v) == "BIGINT"
     broken = lambda v: kind(v).startswith("DECIMAL") | kind(v).isin("DOUBLE", "FLOAT")
@@ -73,7 +73,8 @@ def metadata_from_json(column: Column) -> Column:
 
 def metadata_to_json(column: Column) -> Column:
     """METADATA as a JSON object in the order of the names; an empty or null map gives null."""
-    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"^\[(.*)\]$", 1)
+    inner = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+    quoted = lambda x: inner(F.to_json(F.array(x)))
     text = lambda v: F.when(v["k"] == LONG, v["l"].cast("string")).when(v["k"] == DOUBLE, v["d"].cast("string")).otherwise(quoted(v["s"]))
     entries = F.transform(F.array_sort(F.map_keys(column)), lambda n: F.concat(quoted(n), F.lit(":"), text(F.element_at(column, n))))
     return F.when(F.size(column) > 0, F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")))

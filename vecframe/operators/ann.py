@@ -1,21 +1,25 @@
 """Approximate neighbours by an inverted file: rows are dealt to the nearest of a few centres, a query reads some lists.
 
 Opt-in. Centres are fitted on a bounded sample (``sample`` rows by a hash of the id); every row is indexed. How many lists a
-query reads follows from recall measured against exact search within the sample, unless it is given.
+query reads follows from recall measured against exact search within the sample, unless it is given. Written, the rows of a
+list are a folder, so that a search reads its lists alone.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..functions.predicate import flag
+from ..sources.files import Files
 from .search import knn, knn_join
 
 SAMPLE = 20_000
@@ -54,22 +58,28 @@ class InvertedFile:
         """The fewest lists that found ``recall`` of the neighbours within the sample."""
         return int(np.argmax(self.recalls >= recall - 1e-12)) + 1
 
-    def _plan(self, probes: int | None, where: str) -> tuple[int, np.ndarray]:
+    def _plan(self, probes: int | None, where: str, metadata: str | None = None) -> tuple[int, np.ndarray]:
         """Lists to read, and the rows of each list that pass the filter; all lists if it is selective."""
         passing = np.zeros(len(self.centres), np.int64)
         total = 0
-        for r in self.rows.groupBy("list_id").agg(F.count("*").alias("n"), F.count_if(flag(self.rows, where)).alias("p")).collect():
+        for r in self.rows.groupBy("list_id").agg(F.count("*").alias("n"), F.count_if(flag(self.rows, where, metadata)).alias("p")).collect():
             total += r["n"]
             passing[r["list_id"]] = r["p"]
         wanted = self.probes() if probes is None else probes
         return (len(self.centres) if passing.sum() < SELECTIVE * total else wanted), passing
 
-    def search(self, query, k: int, probes: int | None = None, where: str = "", keep: list[str] | None = None) -> DataFrame:
-        probes, passing = self._plan(probes, where)
+    def write(self, path: str) -> None:
+        """Write the rows as a folder a list, so that a search reads its lists alone, and the centres beside them."""
+        self.rows.repartition("list_id").write.partitionBy("list_id").parquet(f"{path}/lists")
+        known = {"centres": self.centres.tolist(), "space": self.space, "id_col": self.id_col, "vector_col": self.vector_col, "recalls": self.recalls.tolist(), "schema": self.rows.drop("list_id").schema.json()}
+        Files(self.rows.sparkSession).write_json(f"{path}/centres.json", known)
+
+    def search(self, query, k: int, probes: int | None = None, where: str = "", keep: list[str] | None = None, metadata: str | None = None, vector_type: str = "FLOAT32") -> DataFrame:
+        probes, passing = self._plan(probes, where, metadata)
         orders = _orders(self.centres, np.asarray(query, np.float64)[None, :], self.space) if len(self.centres) > 1 else np.zeros((1, 1), int)
         chosen = orders[0, : _read(orders, passing, probes, k)[0]]
         near = self.rows.where(F.col("list_id").isin([int(c) for c in chosen]))
-        return knn(near, query, k, self.space, where, keep=keep, id_col=self.id_col, vector_col=self.vector_col)
+        return knn(near, query, k, self.space, where, metadata, keep, vector_type, self.id_col, self.vector_col)
 
     def search_join(self, queries: DataFrame, k: int, probes: int | None = None, where: str = "") -> DataFrame:
         """(query_id, id, distance, rank) for a table of queries (query_id, vector)."""
@@ -101,6 +111,14 @@ def _sample_recalls(x: np.ndarray, own: np.ndarray, centres: np.ndarray, space:
     return np.cumsum(np.bincount(places.ravel(), minlength=len(centres))) / places.size
 
 
+def load(spark: SparkSession, path: str) -> InvertedFile:
+    """An inverted file that was written."""
+    known = Files(spark).read_json(f"{path}/centres.json")
+    schema = T.StructType.fromJson(json.loads(known["schema"])).add("list_id", T.IntegerType())
+    rows = spark.read.schema(schema).parquet(f"{path}/lists")
+    return InvertedFile(rows, np.array(known["centres"]), known["space"], known["id_col"], known["vector_col"], np.array(known["recalls"]))
+
+
 def build(df: DataFrame, lists: int = 64, space: str = "IP", steps: int = 8, sample: int = SAMPLE, id_col: str = "doc_id", vector_col: str = "vector") -> InvertedFile:
     drawn = df.select(id_col, vector_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()
     x = np.array([r[vector_col] for r in drawn], np.float64)

@@ -15,27 +15,34 @@ from ..functions.predicate import matching
 
 #: Bytes of query vectors that a task holds at once; more queries are answered in blocks.
 QUERY_BYTES = 32 << 20
+#: Distances that a task of ``knn_batch`` computes at once.
+DISTANCES = 4_000_000
 #: Rows of a packed chunk of a table, of queries and of rows; a task multiplies one of each at a time.
 QUERY_CHUNK, ROW_CHUNK = 1024, 2048
 #: Decimals by which ``knn_join`` ranks, so that equal vectors tie and their ids decide.
 DECIMALS = 9
 
 
+def usable(df: DataFrame, vector_col: str, dimension: int) -> DataFrame:
+    """The rows whose vector has ``dimension`` numbers and no null."""
+    return df.where((F.size(vector_col) == dimension) & ~F.exists(vector_col, lambda x: x.isNull()))
+
+
 def knn(df: DataFrame, query, k: int, space: str = "IP", where: str = "", metadata: str | None = None, keep: list[str] | None = None, vector_type: str = "FLOAT32", id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
     """The k nearest rows that pass the filter, as (id, distance, keep...), ascending by distance and id.
 
     The filter is applied before any distance, and each task keeps k rows. Vectors of the table are taken as stored; the
-    query is rounded to ``vector_type`` like them.
+    query is rounded to ``vector_type`` like them. Rows whose vector is null, holds null or has another length are no hits.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     q = vectors.vector_literal(vectors.quantized_list(query, vector_type))
-    rows = matching(df, where, metadata).select(id_col, vectors.distance(space, F.col(vector_col), q).alias("distance"), *(keep or []))
+    rows = usable(matching(df, where, metadata), vector_col, len(query)).select(id_col, vectors.distance(space, F.col(vector_col), q).alias("distance"), *(keep or []))
     return rows.orderBy("distance", id_col).limit(k)
 
 
 def _nearest(space: str, k: int, ids: np.ndarray, queries: np.ndarray, id_col: str, vector_col: str):
-    norms = (queries**2).sum(axis=1)
+    norms, step = (queries**2).sum(axis=1), max(1, DISTANCES // max(1, len(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_d = np.empty((len(ids), 0))
@@ -44,18 +51,21 @@ def _nearest(space: str, k: int, ids: np.ndarray, queries: np.ndarray, id_col: s
             column = batch.column(vector_col)
             if not len(column):
                 continue
-            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-            dots = queries @ x.T
-            d = 1.0 - dots if space == "IP" else norms[:, None] - 2 * dots + (x**2).sum(axis=1)[None, :]
-            d = np.concatenate((best_d, d), axis=1)
-            i = np.concatenate((best_i, np.broadcast_to(batch.column(id_col).to_numpy(), (len(ids), len(x)))), axis=1)
-            if d.shape[1] > k:
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-                width = int((d <= kth[:, None] + 1e-9).sum(axis=1).max())
-                pick = np.argpartition(d, min(width, d.shape[1] - 1), axis=1)[:, :width]
-                d, i = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
-            order = np.stack([np.lexsort((i[r], d[r]))[: 4 * k] for r in range(len(ids))])
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            whole = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+            own = batch.column(id_col).to_numpy()
+            for lo in range(0, len(own), step):  # so that a matrix of distances stays small
+                x = whole[lo : lo + step].astype(np.float64)
+                dots = queries @ x.T
+                d = 1.0 - dots if space == "IP" else norms[:, None] - 2 * dots + (x**2).sum(axis=1)[None, :]
+                d = np.concatenate((best_d, d), axis=1)
+                i = np.concatenate((best_i, np.broadcast_to(own[lo : lo + step], (len(ids), len(x)))), axis=1)
+                if d.shape[1] > k:
+                    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+                    width = int((d <= kth[:, None]).sum(axis=1).max())
+                    pick = np.argpartition(d, min(width, d.shape[1] - 1), axis=1)[:, :width]
+                    d, i = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         n = best_d.shape[1]
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(np.maximum(best_d, 0.0).ravel() if space == "L2" else best_d.ravel())], names=["query_id", id_col, "distance"])
@@ -68,6 +78,7 @@ def knn_batch(df: DataFrame, queries: list[tuple[int, list[float]]], k: int, spa
     if space not in vectors.SPACES:
         raise ValueError(f"space must be one of {vectors.SPACES}")
     rows = matching(df, where, metadata).select(id_col, vector_col)
+    rows = usable(rows, vector_col, len(queries[0][1])) if queries else rows
     schema = f"query_id long, {id_col} long, distance double"
     per = max(1, QUERY_BYTES // max(1, 8 * len(queries[0][1]))) if queries else 1
     found = None
@@ -149,7 +160,7 @@ def _nearest_of_chunks(space: str, k: int, id_col: str):
 
 
 def knn_join(df: DataFrame, queries: DataFrame, k: int, space: str = "IP", where: str = "", metadata: str | None = None, by: str | None = None, id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
-    """As ``knn_batch``, but the queries are a table too, (query_id, vector), however many: nothing is collected.
+    """As ``knn_batch``, but the queries are a table too, (query_id, vector), however many: none is collected.
 
     Both sides are packed into chunks and every pair of chunks is multiplied, or with ``by`` the pairs of equal ``by``. Ranks
     are by distance to ``DECIMALS`` places, then by id.
@@ -159,7 +170,10 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, space: str = "IP", where
     if k < 1:
         raise ValueError("k must be positive")
     keys = [by] if by else []
-    rows = _packed(matching(df, where, metadata), ROW_CHUNK, id_col, vector_col, keys, ("r_ids", "r_values"))
+    one = queries.select(F.size("vector").alias("d")).where("d > 0").first()
+    dimension = one["d"] if one else 0
+    queries = usable(queries, "vector", dimension)
+    rows = _packed(usable(matching(df, where, metadata), vector_col, dimension), ROW_CHUNK, id_col, vector_col, keys, ("r_ids", "r_values"))
     asked = _packed(queries, QUERY_CHUNK, "query_id", "vector", keys, ("q_ids", "q_values"))
     pairs = asked.join(rows, by) if by else asked.crossJoin(rows)
     found = pairs.select("q_ids", "q_values", "r_ids", "r_values").mapInArrow(_nearest_of_chunks(space, k, id_col), f"query_id long, {id_col} long, distance double, near double")
@@ -172,6 +186,13 @@ def by_ids(df: DataFrame, ids: list[int], id_col: str = "doc_id") -> DataFrame:
     return df.where(F.col(id_col).isin(ids))
 
 
+def by_places(df: DataFrame, ids: list[int], id_col: str = "doc_id") -> DataFrame:
+    """One row a given id, in their order: place (from 0), id and the other columns, which are null if no row has it."""
+    asked = df.sparkSession.createDataFrame(list(enumerate(map(int, ids))), f"place long, {id_col} long")
+    rows = df.join(F.broadcast(asked.select(id_col).distinct()), id_col, "left_semi")  # a request's ids
+    return asked.join(rows, id_col, "left").select("place", id_col, *(c for c in df.columns if c != id_col)).orderBy("place")
+
+
 def responses(hits: DataFrame, metadata: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row (response): the hits as a JSON object of hits, distances and, if asked, metadatas in rank order."""
     from ..functions.values import metadata_to_json

@@ -13,7 +13,7 @@ from ..operators import ann, facets, ids, search
 from ..sources import oplog
 from ..sources.requests import Settings
 from ..sources.scratch import scratch_folder
-from ..sources.store import Engine
+from ..sources.store import Collection, Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -392,6 +392,54 @@ def save_load_roundtrip(spark, sf_dir):
     return collection.documents().select("doc_id", get("label", "l"), get("user_id", "l"), get("value", "d"), get("event_type", "s"), total.alias("total"))
 
 
+def live_collection(spark: SparkSession, sf_dir: str) -> Collection:
+    """All documents saved; then in the log every tenth deleted and every tenth replaced by one of label 100."""
+    engine = Engine(spark, scratch_folder(spark))
+    collection = engine.create(Settings("live", 64))
+    rows = docs(spark, sf_dir)
+    collection.add_frame(mapped(rows))
+    engine.save("live")
+    gone = rows.where("doc_id % 10 = 3").select(F.col("doc_id").alias("at"), F.lit(oplog.DELETE).alias("op"), "doc_id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(values.METADATA).alias("metadata"))
+    collection.append(gone, values.LARGEST_ID + 1)
+    collection.add_frame(mapped(rows.where("doc_id % 10 = 5").withColumn("label", F.lit(100).cast("long"))))
+    return collection
+
+
+_LIVE = f"WITH {DOCS}, live AS (SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN 100 ELSE label END AS label, event_type, vector FROM docs WHERE doc_id % 10 <> 3)"
+_LIVE_KNN = _LIVE + ", {q} SELECT doc_id, {ip} AS distance FROM live, q WHERE {where} ORDER BY distance, doc_id LIMIT {k}"
+
+
+@query("collection_search_live", _LIVE_KNN.format(q=_Q, ip=_IP.format(a="vector", b="q.v"), where="label > 4", k=20))
+def collection_search_live(spark, sf_dir):
+    return _rounded(live_collection(spark, sf_dir).search(first_vector(spark, sf_dir), 20, "label > 4"))
+
+
+@query("collection_search_selective", _LIVE_KNN.format(q=_Q, ip=_IP.format(a="vector", b="q.v"), where="label = 7 AND event_type = 'click'", k=20))
+def collection_search_selective(spark, sf_dir):
+    """By the collection's index, which answers a filter that passes few rows exactly."""
+    collection = live_collection(spark, sf_dir)
+    collection.build_index(lists=16)
+    return _rounded(collection.search(first_vector(spark, sf_dir), 20, 'label = 7 AND event_type = "click"', approximate=True))
+
+
+@query("collection_facets_live", _LIVE + " SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM live WHERE label > 50 GROUP BY event_type")
+def collection_facets_live(spark, sf_dir):
+    return live_collection(spark, sf_dir).facets("label > 50")[0]
+
+
+@query("collection_status_live", f"WITH {DOCS} SELECT count(*) FILTER (doc_id % 10 <> 3) AS live, count(*) FILTER (doc_id % 10 = 3) AS deleted, count(*) AS known FROM docs")
+def collection_status_live(spark, sf_dir):
+    status = live_collection(spark, sf_dir).status()
+    known = status["currentElements"]
+    return spark.createDataFrame([(known - status["deletedElements"], status["deletedElements"], known)], "live long, deleted long, known long")
+
+
+@query("collection_get_places", _LIVE + " SELECT place, p.doc_id, label FROM (VALUES (0, 13), (1, 5), (2, 400), (3, 5), (4, 1000000)) p(place, doc_id) LEFT JOIN live USING (doc_id)")
+def collection_get_places(spark, sf_dir):
+    rows = live_collection(spark, sf_dir).get_many([13, 5, 400, 5, 1_000_000])
+    return rows.select(F.col("place").cast("int").alias("place"), F.col("doc_id").cast("int").alias("doc_id"), F.try_element_at("metadata", F.lit("label"))["l"].alias("label"))
+
+
 @query("metadata_json_roundtrip", f"WITH {DOCS} SELECT doc_id, label, event_type FROM docs WHERE event_type = 'click'")
 def metadata_json_roundtrip(spark, sf_dir):
     text = mapped(docs(spark, sf_dir)).select("doc_id", values.metadata_to_json(F.col("metadata")).alias("j"))
@@ -406,7 +454,10 @@ def search_response(spark, sf_dir):
 
 @query("knn_ivf")
 def knn_ivf(spark, sf_dir):
-    return ann.build(docs(spark, sf_dir), lists=45).search_join(asked(spark, sf_dir), 10)
+    """The index is written, a folder a list, and read back."""
+    path = scratch_folder(spark)
+    ann.build(docs(spark, sf_dir), lists=45).write(path)
+    return ann.load(spark, path).search_join(asked(spark, sf_dir), 10)
 
 
 def queries() -> dict[str, Query]:
