@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import Files
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder already set.
-
-    Where neither is set, a temporary folder is made and registered if the session runs on this machine alone (tests); on a
-    cluster that is an error.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vecframe-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return str(held.get()).rstrip("/")
-
-
-#: Written tables not yet removed, with the session that wrote them.
-_WRITTEN: dict[str, SparkSession] = {}
+from ..sources.scratch import keep_until_exit, remove, shared_root
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,29 +22,15 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
-    _WRITTEN[path] = spark
+    keep_until_exit(spark, path)
     return out
 
 
-def keep_until_exit(spark: SparkSession, path: str) -> None:
-    """Remove the folder ``path`` when the driver's program ends."""
-    _WRITTEN[path] = spark
-
-
 def discard(*tables: DataFrame | None) -> None:
     """Remove tables of ``materialize`` that nothing reads any more."""
     for table in tables:
-        path = getattr(table, "_written", None)
-        if path and _WRITTEN.pop(path, None):
-            Files(table.sparkSession).remove(path)
-
-
-@atexit.register
-def _discard_all() -> None:
-    while _WRITTEN:
-        path, spark = _WRITTEN.popitem()
-        with contextlib.suppress(Exception):  # the session may be gone
-            Files(spark).remove(path)
+        if path := getattr(table, "_written", None):
+            remove(path)
 
 
 #: Rows that Spark hands to Python at once: texts can be long.

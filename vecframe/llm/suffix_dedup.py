@@ -371,7 +371,7 @@ def removals(rows: DataFrame, parts: int, keep_first: bool) -> DataFrame:
 
 
 def _cuts(found: list | None) -> list[tuple[int, int]]:
-    return [(x["s"], x["e"]) for x in found or ()]
+    return [(x["s"], x["e"]) for x in (() if found is None else found)]
 
 
 def _kept(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
