@@ -26,15 +26,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("suffix_array_dedup", cut_repeats), ("packing", pack)]
-#: The stages learn weights and cut bytes, which SQL cannot express; tests compare them with brute force.
+#: The first stage learns weights, which SQL cannot express; tests compare all stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages; the stages' tables stay until the driver's program ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.materialize(docs)
-            common.discard(before)
     return docs
