@@ -37,6 +37,7 @@ BATCH_STRETCHES = 500_000
 HOT_STRETCHES = 2048
 #: Bytes over which one suffix array is built, unless one group is larger (HOT_STRETCHES bounds it).
 BLOCK_BYTES = 400_000
+# Spans and asks are joined with their texts by sort and merge at every size: what they weigh tells little of what they become.
 #: Added to the length of a stretch whose anchor recurs inside it (periodic text): it can hold equal windows itself.
 SELF = 1 << 24
 _U = kernels.U
@@ -360,7 +361,7 @@ def removals(rows: DataFrame, parts: int, keep_first: bool) -> DataFrame:
     settled = sent.where("kind = 0").select("bucket", *[n for n, _ in _FIELDS]).repartition(parts, "bucket").sortWithinPartitions("bucket")
     settled = common.materialize(settled.mapInArrow(_resolve, "kind int, uid long, pos long, len long, anchor long, cnt long, nd long"))
     asks = settled.where("kind = 2").groupBy("uid").agg(F.collect_list(F.struct("anchor", "pos", "len", "cnt", "nd")).alias("asks"))
-    texts = common.materialize(rows.join(asks, "uid").select("uid", "data", "asks").mapInArrow(_fetch, "anchor long, uid long, pos long, cnt long, nd long, bytes binary"))
+    texts = common.materialize(rows.join(asks.hint("merge"), "uid").select("uid", "data", "asks").mapInArrow(_fetch, "anchor long, uid long, pos long, cnt long, nd long, bytes binary"))
     by_suffix = texts.where(F.col("nd") <= HOT_STRETCHES).select("anchor", "uid", "pos", "cnt", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "uid", "pos").mapInArrow(_group(keep_first), "uid long, s long, e long")
     hot = _hot_spans(texts.where(F.col("nd") > HOT_STRETCHES).select("uid", "pos", "cnt", "bytes"), keep_first)
     whole = settled.where("kind = 1").select("uid", F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e"))
@@ -403,7 +404,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = common.numbered(common.texts(docs, id_col, text_col), "uid")
     found = removals(rows, common.exchange_partitions(rows), keep_first)
-    return rows.join(found, "uid", "left").select("doc_id", "data", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(found.hint("merge"), "uid", "left").select("doc_id", "data", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = True) -> DataFrame:
@@ -421,7 +422,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     table = common.numbered(docs, uid)
     gone = removals(common.texts(table, id_col, text_col, F.col(uid).alias("uid")), common.exchange_partitions(table), keep_first).select(F.col("uid").alias(uid), F.col("spans").alias(found))
-    out = table.join(gone, uid, "left")
+    out = table.join(gone.hint("merge"), uid, "left")
     out = out.withColumn(text_col, F.when(F.col(found).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(found))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast("long")))
