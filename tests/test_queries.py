@@ -9,7 +9,7 @@ from vecframe.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-CHOSEN = ["filter_group", "filter_not_missing", "filter_map_not_missing", "filter_mixed_gt_long", "knn_with_metadata", "knn_batch_ip", "knn_f16", "facet_ranges", "oplog_compact", "save_load_roundtrip", "collection_search_live", "collection_search_selective", "collection_facets_live", "collection_status_live", "collection_get_places"]
+CHOSEN = ["filter_group", "filter_not_missing", "filter_map_not_missing", "filter_mixed_gt_long", "knn_with_metadata", "knn_batch_ip", "knn_f16", "facet_ranges", "oplog_compact", "save_load_roundtrip", "collection_search_live", "collection_search_selective", "collection_facets_live", "collection_status_live", "collection_get_places", "search_response"]
 
 
 @pytest.fixture(scope="module")

@@ -26,7 +26,7 @@ def against_sql(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["knn_batch_ip_all", "knn_batch_l2_filtered_all"])
+@pytest.mark.parametrize("name", ["knn_batch_ip", "knn_batch_l2_filtered"])
 def test_batch_asks_the_whole_query_set(spark, name):
     rows = against_sql(spark, name)
     asked = plans.table(spark, DATA, "embeddings").where("vec_id % 20 = 0").count()
@@ -47,7 +47,7 @@ def test_join_over_many_chunks(spark, monkeypatch):
 @tables
 def test_ivf_recall(spark):
     found = {(r.query_id, r.doc_id) for r in plans.queries()["knn_ivf"](spark, DATA).collect()}
-    true = {(r.query_id, r.doc_id) for r in plans.queries()["knn_batch_ip_all"](spark, DATA).collect()}
+    true = {(r.query_id, r.doc_id) for r in plans.queries()["knn_batch_ip"](spark, DATA).collect()}
     assert len(found) == len(true) and len(found & true) >= 0.9 * len(true)
 
 
@@ -68,6 +68,6 @@ def test_ivf_filters_lose_no_hits(spark):
 @tables
 def test_oplog_covers_the_whole_log(spark):
     last = plans.table(spark, DATA, "events").agg({"event_id": "max"}).first()[0]
-    orphans = against_sql(spark, "oplog_orphan_deletes_all")
+    orphans = against_sql(spark, "oplog_orphan_deletes")
     assert len(orphans) > 0 and max(r["seq"] for r in orphans) > last / 2
-    assert len(against_sql(spark, "oplog_crc_prefix_scaled")) == (last + 1) * 7 // 10
+    assert len(against_sql(spark, "oplog_crc_prefix")) == (last + 1) * 7 // 10

@@ -197,26 +197,6 @@ def knn_cosine(spark, sf_dir):
     return _rounded(rows.orderBy("distance", "doc_id").limit(10))
 
 
-def _queries(spark, sf_dir, n):
-    return [(r[0], list(r[1])) for r in table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select("vec_id", "embedding").collect()]
-
-
-def _batch_sql(distance: str, where: str, n: int) -> str:
-    return f"""WITH {DOCS}, d AS (SELECT q.vec_id AS query_id, doc_id, {distance.format(a='vector', b='q.embedding')} AS distance FROM docs, embeddings q
-      WHERE q.vec_id < {n} AND {where}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank FROM d)
-      SELECT query_id, doc_id, distance, rank FROM r WHERE rank <= 10"""
-
-
-@query("knn_batch_ip", _batch_sql(_IP, "true", 100))
-def knn_batch_ip(spark, sf_dir):
-    return _rounded(search.knn_batch(docs(spark, sf_dir), _queries(spark, sf_dir, 100), 10))
-
-
-@query("knn_batch_l2_filtered", _batch_sql(_L2, "docs.label > 4", 50))
-def knn_batch_l2_filtered(spark, sf_dir):
-    return _rounded(search.knn_batch(docs(spark, sf_dir), _queries(spark, sf_dir, 50), 10, "L2", "label > 4"))
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, vector): the query set of searches, every row whose id is divisible by 20."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -229,13 +209,13 @@ def _join_sql(distance: str, where: str) -> str:
       SELECT query_id, doc_id, round(x, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 10"""
 
 
-@query("knn_batch_ip_all", _join_sql(_IP, "true"))
-def knn_batch_ip_all(spark, sf_dir):
+@query("knn_batch_ip", _join_sql(_IP, "true"))
+def knn_batch_ip(spark, sf_dir):
     return _rounded(search.knn_join(docs(spark, sf_dir), asked(spark, sf_dir), 10))
 
 
-@query("knn_batch_l2_filtered_all", _join_sql(_L2, "docs.label > 4"))
-def knn_batch_l2_filtered_all(spark, sf_dir):
+@query("knn_batch_l2_filtered", _join_sql(_L2, "docs.label > 4"))
+def knn_batch_l2_filtered(spark, sf_dir):
     return _rounded(search.knn_join(docs(spark, sf_dir), asked(spark, sf_dir), 10, "L2", "label > 4"))
 
 
@@ -328,31 +308,19 @@ def oplog_compact(spark, sf_dir):
     return oplog.compacted(operations(spark, sf_dir)).select("doc_id", "seq", "op")
 
 
-@query("oplog_orphan_deletes", f"WITH {_OPS} SELECT doc_id, max(seq) AS seq FROM ops WHERE seq < 300 GROUP BY doc_id HAVING count(*) FILTER (op = 'ADD') = 0")
-def oplog_orphan_deletes(spark, sf_dir):
-    return oplog.compacted(operations(spark, sf_dir).where("seq < 300")).where(F.col("op") == oplog.DELETE).select("doc_id", "seq")
-
-
-@query("oplog_crc_prefix", "SELECT event_id AS seq, user_id AS doc_id FROM events WHERE event_id < 700")
-def oplog_crc_prefix(spark, sf_dir):
-    sealed = oplog.sealed(operations(spark, sf_dir))
-    damaged = sealed.withColumn("crc", F.when(F.col("seq").isin(700, 900), F.col("crc") + 1).otherwise(F.col("crc")))
-    return oplog.intact(damaged).select("seq", "doc_id")
-
-
 _ORPHANS = "ops AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' OR user_id % 7 = 3 THEN 'DELETE' ELSE 'ADD' END AS op, user_id AS doc_id FROM events)"
 
 
-@query("oplog_orphan_deletes_all", f"WITH {_ORPHANS} SELECT doc_id, max(seq) AS seq FROM ops GROUP BY doc_id HAVING count(*) FILTER (op = 'ADD') = 0")
-def oplog_orphan_deletes_all(spark, sf_dir):
+@query("oplog_orphan_deletes", f"WITH {_ORPHANS} SELECT doc_id, max(seq) AS seq FROM ops GROUP BY doc_id HAVING count(*) FILTER (op = 'ADD') = 0")
+def oplog_orphan_deletes(spark, sf_dir):
     """The whole log, in which all entries of every seventh user are deletions."""
     never = F.col("doc_id") % 7 == 3
     ops = operations(spark, sf_dir).withColumn("metadata", F.when(~never, F.col("metadata"))).withColumn("op", F.when(never, oplog.DELETE).otherwise(F.col("op")))
     return oplog.compacted(ops).where(F.col("op") == oplog.DELETE).select("doc_id", "seq")
 
 
-@query("oplog_crc_prefix_scaled", "SELECT event_id AS seq, user_id AS doc_id FROM events WHERE event_id < (SELECT (max(event_id) + 1) * 7 // 10 FROM events)")
-def oplog_crc_prefix_scaled(spark, sf_dir):
+@query("oplog_crc_prefix", "SELECT event_id AS seq, user_id AS doc_id FROM events WHERE event_id < (SELECT (max(event_id) + 1) * 7 // 10 FROM events)")
+def oplog_crc_prefix(spark, sf_dir):
     """The log is damaged at seven and nine tenths of its length."""
     sealed = oplog.sealed(operations(spark, sf_dir))
     ends = sealed.agg((F.max("seq") + 1).alias("end"))
@@ -447,7 +415,12 @@ def metadata_json_roundtrip(spark, sf_dir):
     return rows.select("doc_id", F.element_at("metadata", "label")["l"].alias("label"), F.element_at("metadata", "event_type")["s"].alias("event_type"))
 
 
-@query("search_response")
+_RESPONSE = """h AS (SELECT *, row_number() OVER (ORDER BY distance, doc_id) AS place FROM (SELECT docs.*, {ip} AS distance FROM docs, q WHERE label > 4 ORDER BY distance, doc_id LIMIT 5)),
+  m AS (SELECT *, '{{"event_type":"' || event_type || '","label":' || label || ',"user_id":' || user_id || CASE WHEN value IS NULL THEN '' ELSE ',"value":' || value END || '}}' AS metadata FROM h)
+  SELECT '{{"hits":[' || string_agg(doc_id, ',' ORDER BY place) || '],"distances":[' || string_agg(distance, ',' ORDER BY place) || '],"metadatas":[' || string_agg(metadata, ',' ORDER BY place) || ']}}' AS response FROM m"""
+
+
+@query("search_response", f"WITH {DOCS}, {_Q}, " + _RESPONSE.format(ip=_IP.format(a="vector", b="q.v")))
 def search_response(spark, sf_dir):
     return search.responses(_rounded(search.knn(mapped(docs(spark, sf_dir)), first_vector(spark, sf_dir), 5, where="label > 4", metadata="metadata", keep=["metadata"])), "metadata")
 
