@@ -78,6 +78,14 @@ def test_words_are_forgotten(monkeypatch):
         assert next(words.encode(pa.array([text or ""]))).tolist() == ids_of(text).tolist()
 
 
+def test_ids_of_random_texts():
+    rng = random.Random(11)
+    parts = [*"abcXYZ'0123!?$#<|>.,-_ßÀÉéöÿ÷×µªº́ijİıſ…—中あ🙂 \n\t\r  \x0b\x1c\x00", "'s", "'re", "<|startoftext|>", "<|", "|>", "</w>", "'LL", "ﬁ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(5000)]
+    for text, ids in zip(texts, packing.WordIds(PATH).encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == ids_of(text).tolist()
+
+
 def test_plan():
     have = np.zeros(2048, np.int64)
     have[[100, 700, 1248, 800, 1024]] = [50, 50, 80, 30, 9]

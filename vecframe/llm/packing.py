@@ -53,9 +53,13 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for pieces of plain words: they are in normal form and split already, their bytes alone are spelled.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
         self.forget()
@@ -69,9 +73,9 @@ class WordIds:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn_pieces(self, new: list[str]) -> None:
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = self._ids(" ".join(part))
+        for i in range(0, len(new), 200):
+            part = new[i : i + 200]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 each = [self._ids(x) for x in part]
@@ -101,7 +105,7 @@ class WordIds:
         split = pc.ascii_split_whitespace(texts)
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()
-        local, known = coded.dictionary.to_pylist(), self.words.known
+        local, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.words.known
         at = np.fromiter(map(known.get, local, itertools.repeat(-1)), np.int64, len(local))
         missing = np.flatnonzero(at < 0)
         if len(missing):
