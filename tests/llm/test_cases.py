@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vecframe.llm import common, fingerprints, html_text, lattice_lsh, near_join, oracles, packing, piece_sampling, queries, suffix_dedup, token_counts, toxicity, warc
@@ -227,3 +228,53 @@ def test_edited_texts_of_equal_and_null_ids(spark, monkeypatch):
             want[i, text[: len(text) - half] + after[:half]] += 1
         out = fingerprints.edited_pairs(docs).select("doc_id", "text", "next.text").toDF("doc_id", "text", "after").collect()
         assert Counter((r.doc_id, r.text[: len(r.text) - len(r.text) // 2] + r.after[: len(r.text) // 2]) for r in out) == want
+
+
+def fingerprint_of(text):
+    """One-permutation MinHash with optimal densification, step by step."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    hashed = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+
+    def combined(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
+        return seed
+
+    runs = [hashed[i : i + 5] for i in range(len(hashed) - 4)] or ([hashed] if hashed else [])
+    if not runs:
+        return ""
+    bins = {}
+    for run in runs:
+        h = combined(run) >> 1
+        bins[h >> 55] = min(h, bins.get(h >> 55, h))
+    places = fingerprints._places()
+
+    def value(j):
+        for own in (j, *(p[j] for p in places)):
+            if own in bins:
+                return bins[own]
+        # the filled bin whose number hashes least together with j
+        return min((int.from_bytes(xxhash.xxh64_digest(j.to_bytes(4, "little"), xxhash.xxh64_intdigest(b.to_bytes(8, "little"), 42)), "big", signed=True), y) for b, y in bins.items())[1]
+
+    low = [value(j) & 255 for j in range(256)]
+    return "".join(f"{sum(b << 8 * i for i, b in enumerate(low[k : k + 8])):016X}" for k in range(0, 256, 8))
+
+
+def test_fingerprints_by_reference(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdé") for _ in range(4)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 3, 5, 6, 7, 12, 40, 200, 900, 4000)] + ["A b\tC\nd e", None, " \t", "word " * 50]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[i - 1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        one, two, nearest = fingerprint_of(text), fingerprint_of(edited), fingerprint_of(after)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (one, two)
+        for found, other in ((got[i].near_edited, two), (got[i].near_next, nearest)):
+            if not one or not other:
+                assert found == float(one == other)
+            else:
+                agree = sum(bytes.fromhex(one)[k] == bytes.fromhex(other)[k] for k in range(256)) / 256
+                assert found == pytest.approx(max(0.0, (agree - 1 / 256) / (1 - 1 / 256)))
