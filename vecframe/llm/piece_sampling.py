@@ -166,7 +166,7 @@ class Lattice:
         row = np.repeat(np.arange(len(texts)), per_row)
         number = np.arange(len(flat)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
         salt = kernels.mix(keys + kernels.U(seed))[row] + number.astype(kernels.U) * kernels.U(0x9E3779B97F4A7C15)
-        long = [k for k, u in enumerate(flat) if len(u) > LONG_UNIT]
+        long = [k for k, u in enumerate(flat) if len(u) > LONG_UNIT] if max(map(len, flat), default=0) > LONG_UNIT else []
         if not long:
             out, owner = self._drawn(flat, salt)
         else:
@@ -196,8 +196,10 @@ class Lattice:
 
     def _drawn(self, flat: list[str], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The candidates drawn for each unit, end to end, and the unit of each."""
-        self.learn(list(set(flat).difference(self.units)))
-        known = np.fromiter(map(self.units.__getitem__, flat), np.int64, len(flat))
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([u for u in names if u not in self.units])
+        known = np.fromiter(map(self.units.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
         order = np.argsort(known)  # draws go through the table in its order
         new = np.diff(known[order], prepend=-1) > 0
         at_unit, unit = known[order][new], np.empty(len(flat), np.int64)
